@@ -72,8 +72,8 @@ often AS (SELECT s.source, list(s.line) AS lines FROM seen s JOIN totals t ON s.
   WHERE s.n >= {MIN_PAGES} AND s.n > {RATIO} * t.pages GROUP BY s.source)
 SELECT d.doc_id, d.source,
   CASE WHEN o.lines IS NULL THEN d.text ELSE
-    array_to_string(list_filter(string_split(d.text, chr(10)), x -> NOT list_contains(o.lines, trim(x, ' '))), chr(10)) END AS text,
+    array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(o.lines, trim(x, ' '))), chr(10)) END AS text,
   CASE WHEN o.lines IS NULL THEN 0 ELSE
-    len(list_filter(string_split(d.text, chr(10)), x -> list_contains(o.lines, trim(x, ' ')))) END AS dropped_lines
+    len(list_filter(string_split(d.text, chr(10)), lambda x: list_contains(o.lines, trim(x, ' ')))) END AS dropped_lines
 FROM {{src}} d LEFT JOIN often o ON d.source = o.source
 """

@@ -4,8 +4,10 @@ Groups are rows of equal text.  Each group is placed in the shard where the dot
 (bytes, tokens, rows) with the shard's residual capacity is highest, largest groups first.  So that
 the driver sees a bounded table at any input size, groups under ``1 / (piece_share * n_shards)`` of
 all bytes travel in one of ``crates`` crates (a hash of the text picks it, so equal texts stay
-together), and a group above that is cut into pieces by a hash of doc_id, since a group of copies may
-be larger than a shard.  At most ``crates + 2 * piece_share * n_shards`` units reach the driver.
+together).  A group of copies may be larger than a shard, so one above an eighth of a shard is cut into
+pieces by a hash of doc_id.  At most ``crates + (piece_share + 16) * n_shards`` units reach the driver.
+Since the law is ``bytes``, units then move from the largest shard to the smallest while that brings
+their bytes nearer.
 
 Cases: a null text counts as empty (size 1, crc 0); equal or null doc_ids are rows like any other;
 an empty table gives an empty result; other columns of the input are ignored.
@@ -31,6 +33,24 @@ def place(units: list[tuple], n_shards: int) -> list[int]:
         out[k] = best
         for i in range(3):
             residual[best][i] -= scaled[k][i]
+    return evened(units, out, n_shards)
+
+
+def evened(units: list[tuple], out: list[int], n_shards: int, turns: int = 256) -> list[int]:
+    """Move units from the shard of most bytes to that of fewest, each time the one nearest to half the difference."""
+    loads = [0] * n_shards
+    for u, s in zip(units, out, strict=True):
+        loads[s] += u[0]
+    for _ in range(turns):
+        most, least = max(range(n_shards), key=lambda s: (loads[s], -s)), min(range(n_shards), key=lambda s: (loads[s], s))
+        gap = loads[most] - loads[least]
+        fit = [k for k, s in enumerate(out) if s == most and 0 < units[k][0] < gap]
+        if not fit:
+            break
+        k = min(fit, key=lambda k: (abs(2 * units[k][0] - gap), k))
+        out[k] = least
+        loads[most] -= units[k][0]
+        loads[least] += units[k][0]
     return out
 
 
@@ -56,7 +76,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, crates: int = 4096, piec
     total = base.agg(F.sum("size")).head()[0] or 0
     limit = max(1, total // (n_shards * piece_share))
     # at most n_shards * piece_share groups are above the limit, so this side is bounded
-    heavy = groups.where(F.col("bytes") > limit).select(*group, F.ceil(F.col("bytes") / limit).alias("parts"))
+    heavy = groups.where(F.col("bytes") > limit).select(*group, F.ceil(F.col("bytes") / F.lit(max(1, total // (8 * n_shards)))).alias("parts"))
     split = base.join(F.broadcast(heavy), group, "left").select(
         "doc_id", "size", "tokens", "text_crc32",
         F.when(F.col("parts").isNull(), F.pmod("h", F.lit(crates))).otherwise(F.col("h")).alias("unit"),
