@@ -4,19 +4,20 @@ Sets.  Bytes A-Z become lower case, words are runs without white space, a shingl
 five words.  Documents with equal sets are one node from the start.
 
 Blocks.  Sets of n shingles that reach the threshold share one of the first n - ceil(0.75 n) + 1
-shingles under any common order.  The order is by hash, with shingles of more than one in a thousand
-documents last, so that a passage that many documents share makes no block unless a document is little
-else.  A shingle in two nodes' prefixes is a block.
+shingles under any common order.  The order is by hash, with common shingles last, so that a passage that
+many documents share makes no block unless a document is little else.  A shingle in two nodes' prefixes is
+a block; of blocks with the same nodes one is kept, and a large block is cut into pairs of chunks.
 
-Points.  A node's shingles are hashed into ``GROUPS`` groups; the counts are its point.  Points of a block
-are indexed by an R-tree.  Two sets overlap in at most the summed minima of their coordinates, and two
-boxes in at most those of their upper corners; pairs of boxes and points below the needed overlap are
-pruned, and pairs of unlike sizes.  What survives is verified on the texts.
+Points.  A node's shingles are hashed into groups (more for large sets); the counts up to three are
+its point, what they leave out its excess.  Points of a block are indexed by an R-tree.  Two sets
+overlap in at most the summed minima of their coordinates and the smaller excess, and two boxes in at
+most the same of their upper corners; boxes and points below the needed overlap are pruned, and those
+of unlike sizes.  What survives is verified on the texts.
 
 Rounds.  Links within a component need not be known for its class, so pairs are never expanded inside a
-group of near copies: first each node is compared with one leader of its blocks, then the tree joins give
-a spanning forest of pairs between different components, then all surviving pairs between different
-components.  After the last round no link between two components is missing.
+group of near copies: first each node is compared with one leader of its blocks, then in ``FORESTS``
+rounds with a few nodes of other components that the tree joins give, then all surviving pairs between
+different components are compared.  After that no link between two components is missing.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer than five words are one
 shingle; repeated rows share a class; a class is named by its smallest doc_id (null ids come last); an
@@ -25,7 +26,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,14 @@ from xxhash import xxh3_64_intdigest
 from .common import stored
 from .components import components
 
-WORDS, PERCENT, GROUPS = 5, 75, 32
+WORDS, PERCENT = 5, 75
+#: groups of a point and of a large set's point; sets below BELOW have the first, from ABOVE on the second, between both
+GROUPS, LARGE_GROUPS, BELOW, ABOVE = 1024, 8192, 2048, 1500
+FORESTS, TRIES, CHUNK = 2, 4, 2048
 #: rows of a side that is broadcast; beyond that it is joined by key
 BROADCAST_ROWS = 500_000
 #: a shingle is common from one in so many documents, and from so many documents
-COMMON_SHARE, COMMON_LEAST = 1000, 64
+COMMON_SHARE, COMMON_LEAST = 10_000, 16
 LEAF = 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,12 +92,21 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array([xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def point(s: np.ndarray) -> bytes:
-    return np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes()
+def point(s: np.ndarray, groups: int) -> bytes:
+    """Counts up to three, four of them in a byte."""
+    c = np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % groups, minlength=groups), 3).astype(np.uint8).reshape(-1, 4)
+    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes()
+
+
+QUADS = np.array([[b >> s & 3 for s in (0, 2, 4, 6)] for b in range(256)], np.uint8)
+
+
+def points(packed: list[bytes]) -> np.ndarray:
+    return QUADS[np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)].reshape(len(packed), -1)
 
 
 def described(docs: DataFrame, percent: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node, point) and, with n null, rows of shingles seen repeatedly in a part (node, seen)."""
+    """Rows of documents (doc_id, n, node, points) and, with n null, rows of shingles seen repeatedly in a part (node, seen)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,12 +116,12 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
         def repeated() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             held.clear()
-            return pd.DataFrame({"doc_id": None, "n": None, "node": keys[n > 1].view(np.int64), "point": None, "seen": n[n > 1]})
+            return pd.DataFrame({"doc_id": None, "n": None, "node": keys[n > 1].view(np.int64), "point": None, "large": None, "seen": n[n > 1]})
 
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": pd.array(nodes, "Int64"), "point": [point(s) if len(s) else None for s in sets], "seen": None})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": pd.array(nodes, "Int64"), "point": [point(s, GROUPS) if 0 < len(s) < BELOW else None for s in sets], "large": [point(s, LARGE_GROUPS) if len(s) >= ABOVE else None for s in sets], "seen": None})
             for s, node in zip(sets, nodes, strict=True):
                 if node is not None and node not in known:
                     known.add(node)
@@ -119,7 +132,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
         yield repeated()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, seen long")
+    return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, large binary, seen long")
 
 
 def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
@@ -152,45 +165,49 @@ def like_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 class Tree:
-    """An R-tree of count vectors, packed by size and then by the widest coordinate."""
+    """An R-tree of count vectors, packed by component, size and the widest coordinate."""
 
-    def __init__(self, points: np.ndarray, comp: np.ndarray):
-        self.points, self.comp, self.total = points, comp, points.sum(1)
-        self.boxes: list[tuple] = []  # upper corner, least and most total, only component or None, members or children
-        self.root = self.build(np.argsort(self.total, kind="stable"))
+    def __init__(self, at: np.ndarray, size: np.ndarray, comp: np.ndarray):
+        self.points, self.size, self.comp = at, size, comp
+        self.excess = size - at.sum(1, dtype=np.int64)
+        self.boxes: list[tuple] = []  # upper corner, most excess, least and most size, only component or None, members or None, children or None
+        self.root = self.build(np.lexsort((size, comp)))
 
     def build(self, at: np.ndarray) -> int:
-        corner, total, comp = self.points[at].max(0), self.total[at], self.comp[at]
+        corner, size, comp = self.points[at].max(0), self.size[at], self.comp[at]
         only = int(comp[0]) if (comp == comp[0]).all() else None
-        if len(at) <= LEAF:
-            inner, children = at, None
-        else:
-            spread = np.ptp(self.points[at], 0)
-            if np.ptp(total) < spread.max() * 4:
-                at = at[np.argsort(self.points[at, int(spread.argmax())], kind="stable")]
+        inner, children = at, None
+        if len(at) > LEAF:
+            if only is not None:
+                spread = np.ptp(self.points[at], 0)
+                at = at[np.argsort(self.points[at, int(spread.argmax())], kind="stable")] if np.ptp(size) < 16 else at
             cut = len(at) // 2
             inner, children = None, (self.build(at[:cut]), self.build(at[cut:]))
-        self.boxes.append((corner, int(total.min()), int(total.max()), only, inner, children))
+        self.boxes.append((corner, int(self.excess[at].max()), int(size.min()), int(size.max()), only, inner, children))
         return len(self.boxes) - 1
 
-    def joined(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, places) of pairs of different components whose overlap may suffice."""
+    def joined(self, percent: int, same) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, places) of pairs of different components whose overlap may suffice; same(components) tells those joined meanwhile."""
         todo = [(self.root, self.root)]
         while todo:
             i, j = todo.pop()
-            (ca, la, ma, oa, pa, na), (cb, lb, mb, ob, pb, nb) = self.boxes[i], self.boxes[j]
-            if oa is not None and oa == ob or 100 * ma < percent * lb or 100 * mb < percent * la:
+            (ca, ea, la, ma, oa, pa, na), (cb, eb, lb, mb, ob, pb, nb) = self.boxes[i], self.boxes[j]
+            if oa is not None and ob is not None and (oa == ob or same(oa) == same(ob)) or 100 * ma < percent * lb or 100 * mb < percent * la:
                 continue
-            if (100 + percent) * int(np.minimum(ca, cb).sum()) < percent * (la + lb):
+            if (100 + percent) * (int(np.minimum(ca, cb).sum(dtype=np.int64)) + min(ea, eb)) < percent * (la + lb):
                 continue
             if na is None and nb is None:
                 x, y = np.repeat(pa, len(pb)), np.tile(pb, len(pa))
-                ok = (self.comp[x] != self.comp[y]) & ((x < y) if i == j else True)
+                tops = {c: same(c) for c in {*self.comp[pa].tolist(), *self.comp[pb].tolist()}}
+                tx, ty = self.size[x], self.size[y]
+                ok = (100 * np.minimum(tx, ty) >= percent * np.maximum(tx, ty)) & ((x < y) if i == j else True)
+                ok &= np.array([tops[c] for c in self.comp[x].tolist()]) != np.array([tops[c] for c in self.comp[y].tolist()])
                 x, y = x[ok], y[ok]
-                tx, ty = self.total[x], self.total[y]
-                ok = (100 * np.minimum(tx, ty) >= percent * np.maximum(tx, ty)) & ((100 + percent) * np.minimum(self.points[x], self.points[y]).sum(1) >= percent * (tx + ty))
-                if ok.any():
-                    yield x[ok], y[ok]
+                if len(x):
+                    most = np.minimum(self.points[x], self.points[y]).sum(1, dtype=np.int64) + np.minimum(self.excess[x], self.excess[y])
+                    ok = (100 + percent) * most >= percent * (self.size[x] + self.size[y])
+                    if ok.any():
+                        yield x[ok], y[ok]
             elif i == j:
                 a, b = na
                 todo += [(a, a), (b, b), (a, b)]
@@ -200,65 +217,63 @@ class Tree:
                 todo += [(i, k) for k in nb]
 
 
-def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """a, b from rows (key, node, comp, point): the pairs of different components that survive the tree join of a block.
+def tree_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndarray, percent: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes that survive; with ``forest``, only those that join components that earlier pairs haven't joined."""
+    up: dict[int, int] = {}
 
-    With ``forest``, only pairs that join what the block's earlier pairs haven't joined.
-    """
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for x, y in Tree(at, size, comp).joined(percent, top):
+        if forest:
+            kept = []
+            for k, (p, q) in enumerate(zip(comp[x].tolist(), comp[y].tolist(), strict=True)):
+                if (p := top(p)) != (q := top(q)):
+                    up[p] = q
+                    kept.append(k)
+            x, y = x[kept], y[kept]
+        yield node[x], node[y]
 
-    def pairs_of(node: np.ndarray, comp: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, first = np.unique(node, return_index=True)
-        comp, points = comp[first], points[first]
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for x, y in Tree(points, comp).joined(percent):
-            if forest:
-                kept = []
-                for k, (p, q) in enumerate(zip(comp[x].tolist(), comp[y].tolist(), strict=True)):
-                    if (p := top(p)) != (q := top(q)):
-                        up[p] = q
-                        kept.append(k)
-                x, y = x[kept], y[kept]
-            yield node[x], node[y]
+
+def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """a, b from rows (block, node, comp, n, point, large)."""
+
+    def pairs_of(block: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        block = block.drop_duplicates("node")
+        # in another order for each block, so that forests differ
+        block = block.iloc[np.argsort(mixed(block["node"].to_numpy().view(np.uint64) ^ np.uint64(int(block["key"].iloc[0]) & (1 << 64) - 1)))]
+        for which, part in (("point", block[block["n"] < BELOW]), ("large", block[block["n"] >= ABOVE])):
+            if part["comp"].nunique() > 1:
+                yield from tree_pairs(part["node"].to_numpy(), part["comp"].to_numpy(), part["n"].to_numpy(np.int64), points(part[which].tolist()), percent, forest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held = None
 
         def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            key, node, comp = (frame[c].to_numpy() for c in ("key", "node", "comp"))
-            points = np.frombuffer(b"".join(frame["point"]), "<u4").reshape(len(frame), GROUPS).astype(np.int64)
-            edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             left, right = [], []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                for x, y in pairs_of(node[s:e], comp[s:e], points[s:e]):
+            ids = frame[["key", "i", "j"]].to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1))), len(ids))
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for x, y in pairs_of(frame.iloc[s:e]):
                     left.append(np.minimum(x, y))
                     right.append(np.maximum(x, y))
             if left:
                 yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
         for b in batches:
-            last = b["key"].iloc[-1] if len(b) else None
-            held.append(b[b["key"] != last])
-            if len(held[-1]) or sum(map(len, held)) > 100_000:
-                done = pd.concat(held)
-                # rows of the batch's last block wait for more of it
-                if len(done):
-                    complete = done[done["key"] != last]
-                    if len(complete):
-                        yield from flush(complete)
-                    held = [done[done["key"] == last]]
-            held.append(b[b["key"] == last])
-        rest = pd.concat(held) if held else None
-        if rest is not None and len(rest):
-            yield from flush(rest)
-
-    return rows.select("key", "node", "comp", "point").repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "a long, b long").distinct()
+            frame = b if held is None else pd.concat([held, b])
+            ids = frame[["key", "i", "j"]].to_numpy()
+            # the last block waits for the rest of it; a block has at most twice CHUNK nodes
+            last = (ids == ids[-1]).all(1) if len(ids) else np.zeros(0, bool)
+            yield from flush(frame[~last]) if not last.all() else ()
+            held = frame[last]
+        if held is not None and len(held):
+            yield from flush(held)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, cell: int = 256) -> DataFrame:
@@ -294,29 +309,34 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
     told = stored(described(docs, percent))
-    rows = told.where("n is not null").select("doc_id", "n", "node", "point")
+    rows = told.where("n is not null").select("doc_id", "n", "node", "point", "large")
     count = rows.count()
     often = max(COMMON_LEAST, count // COMMON_SHARE)
-    # a shingle is in the list for at least count / 1000 of all documents' shingles: at most 1000 times a document's mean number
+    # of a mean number m of shingles in a document, at most COMMON_SHARE * m are so common
     common = told.where("n is null").groupBy("node").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= often).select("node").toPandas()["node"].to_numpy(np.int64)
     common = np.sort(common.view(np.uint64))
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")).where("doc_id is not null"))
+    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).where("doc_id is not null"))
     by_key = "partition by key"
-    posted = postings(docs, common, percent).selectExpr("key", "node", "n", f"min(struct(node, n)) over ({by_key}) as lo", f"max(node) over ({by_key}) as hi")
-    blocks = stored(posted.where("lo.node <> hi").select("key", "node", "n", "lo"))
+    posted = postings(docs, common, percent).selectExpr("key", "node", "n", *(f"{f} over ({by_key}) as {c}" for f, c in (("min(struct(node, n))", "lo"), ("max(node)", "hi"), ("bit_xor(xxhash64(node))", "x"), ("count(*)", "m"))))
+    posted = stored(posted.where("lo.node <> hi"))
+    alike = ["lo", "hi", "x", "m"]
+    one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
+    blocks = stored(posted.join(one, [*alike, "key"], "left_semi").select("key", "node", "n", "lo"))
 
     # round 1: each node and the leader of one of its blocks
     first = blocks.where("node <> lo.node").where(like_sizes(F.col("n"), F.col("lo.n"), percent)).groupBy(F.col("node").alias("b")).agg(F.min("lo.node").alias("a"))
-    pa, pb = nodes.select(F.col("node").alias("a"), F.col("point").alias("x"), F.col("n").alias("na")), nodes.select(F.col("node").alias("b"), F.col("point").alias("y"), F.col("n").alias("nb"))
-    links = stored(verified(docs, nodes, bounded(first.join(pa, "a").join(pb, "b"), percent).select("a", "b"), percent))
+    links = stored(verified(docs, nodes, first, percent))
     found = components(links)
 
-    for forest in (True, False):
-        labelled = blocks.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        between = labelled.selectExpr("*", f"min(comp) over ({by_key}) as c0", f"max(comp) over ({by_key}) as c1").where("c0 <> c1").select("key", "node", "comp")
-        pairs = block_pairs(stored(between).join(nodes.select("node", "point"), "node"), percent, forest)
-        more = stored(verified(docs, nodes, pairs, percent))
-        links = links.unionByName(more)
+    for turn in range(FORESTS + 1):
+        labelled = blocks.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        between = labelled.selectExpr("*", f"min(comp) over ({by_key}) as c0", f"max(comp) over ({by_key}) as c1", f"ceil(count(*) over ({by_key}) / {CHUNK}) as chunks").where("c0 <> c1")
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        cut = between.withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "n", "comp")
+        pairs = block_pairs(stored(cut).join(nodes.select("node", "point", "large"), "node"), percent, turn < FORESTS)
+        if turn < FORESTS:
+            pairs = pairs.selectExpr("a", "b", "row_number() over (partition by b order by xxhash64(a, b)) as k").where(F.col("k") <= TRIES).select("a", "b")
+        links = links.unionByName(stored(verified(docs, nodes, pairs, percent)))
         found = components(links)
 
     named = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
@@ -325,19 +345,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("doc_id", "n", "node").join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows (x, y points, na, nb sizes) whose summed coordinate minima may suffice."""
-
-    @F.pandas_udf("boolean")
-    def may(x: pd.Series, y: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        p, q = (np.frombuffer(b"".join(v), "<u4").reshape(len(v), GROUPS).astype(np.int64) for v in (x, y))
-        return pd.Series((100 + percent) * np.minimum(p, q).sum(1) >= percent * (na.to_numpy() + nb.to_numpy()))
-
-    return pairs.where(may("x", "y", "na", "nb"))
-
-
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without those whose class has a smaller doc_id; rows of no class, and of null ids, stay.
 
@@ -346,5 +353,3 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = stored(near_duplicates(docs, percent).where("component_id <> doc_id").select("doc_id").distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(side, "doc_id", "left_anti")
-
-
