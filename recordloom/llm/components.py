@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small, new)
         discard(spark, path)
         path = new
-        # a forest of stars whose centres have no edge down is final
+        # what a turn leaves as it was is a forest of stars
         state = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(20,0)")), F.sum(F.col("v").cast("decimal(20,0)"))).head()
         if state == before:
             break

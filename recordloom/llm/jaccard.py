@@ -40,7 +40,7 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: groups of a point and of a large set's point; sets below BELOW have the first, from ABOVE on the second, between both
 GROUPS, LARGE_GROUPS, BELOW, ABOVE = 1024, 8192, 2048, 1500
-FORESTS, TRIES, CHUNK = 2, 4, 2048
+FORESTS, TRIES, CHUNK = 1, 12, 2048
 #: rows of a side that is broadcast; beyond that it is joined by key
 BROADCAST_ROWS = 500_000
 #: a shingle is common from one in so many documents, and from so many documents
@@ -241,25 +241,47 @@ def tree_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndar
 def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """a, b from rows (block, node, comp, n, point, large)."""
 
-    def pairs_of(block: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        block = block.drop_duplicates("node")
+    def small(starts: np.ndarray, m: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of m rows make a tree of one leaf: their pairs, many blocks at a time."""
+        i, j = np.triu_indices(m, 1)
+        x, y = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+        ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        both = size[x] + size[y]
+        low = np.maximum(size[x], size[y]) < BELOW
+        for which, of in (("point", low), ("large", ~low)):
+            at = np.flatnonzero(of)
+            for k in range(0, len(at), 2048):
+                p, q = x[at[k : k + 2048]], y[at[k : k + 2048]]
+                u, v = points([packed[which][r] for r in p]), points([packed[which][r] for r in q])
+                excess = np.minimum(size[p] - u.sum(1, dtype=np.int64), size[q] - v.sum(1, dtype=np.int64))
+                keep = (100 + percent) * (np.minimum(u, v).sum(1, dtype=np.int64) + excess) >= percent * both[at[k : k + 2048]]
+                yield node[p[keep]], node[q[keep]]
+
+    def pairs_of(at: np.ndarray, key: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = at[np.unique(node[at], return_index=True)[1]]
         # in another order for each block, so that forests differ
-        block = block.iloc[np.argsort(mixed(block["node"].to_numpy().view(np.uint64) ^ np.uint64(int(block["key"].iloc[0]) & (1 << 64) - 1)))]
-        for which, part in (("point", block[block["n"] < BELOW]), ("large", block[block["n"] >= ABOVE])):
-            if part["comp"].nunique() > 1:
-                yield from tree_pairs(part["node"].to_numpy(), part["comp"].to_numpy(), part["n"].to_numpy(np.int64), points(part[which].tolist()), percent, forest)
+        at = at[np.argsort(mixed(node[at].view(np.uint64) ^ np.uint64(key & (1 << 64) - 1)))]
+        for which, part in (("point", at[size[at] < BELOW]), ("large", at[size[at] >= ABOVE])):
+            if len(part) and (comp[part] != comp[part[0]]).any():
+                yield from tree_pairs(node[part], comp[part], size[part], points([packed[which][r] for r in part]), percent, forest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
         def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             left, right = [], []
+            node, comp, size = (frame[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
+            packed = {c: frame[c].to_numpy() for c in ("point", "large")}
             ids = frame[["key", "i", "j"]].to_numpy()
             edges = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1))), len(ids))
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for x, y in pairs_of(frame.iloc[s:e]):
-                    left.append(np.minimum(x, y))
-                    right.append(np.maximum(x, y))
+            many = np.diff(edges)
+            found = [pair for m in np.unique(many[(many > 1) & (many <= LEAF)]) for pair in small(edges[:-1][many == m], int(m), node, comp, size, packed)]
+            for k in np.flatnonzero(many > LEAF).tolist():
+                found += pairs_of(np.arange(edges[k], edges[k + 1]), int(ids[edges[k], 0]), node, comp, size, packed)
+            for x, y in found:
+                left.append(np.minimum(x, y))
+                right.append(np.maximum(x, y))
             if left:
                 yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
@@ -336,8 +358,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = block_pairs(stored(cut).join(nodes.select("node", "point", "large"), "node"), percent, turn < FORESTS)
         if turn < FORESTS:
             pairs = pairs.selectExpr("a", "b", "row_number() over (partition by b order by xxhash64(a, b)) as k").where(F.col("k") <= TRIES).select("a", "b")
-        links = links.unionByName(stored(verified(docs, nodes, pairs, percent)))
-        found = components(links)
+        more = stored(verified(docs, nodes, pairs, percent))
+        if not more.isEmpty():
+            # components are contracted to stars, so only they and the new links are walked
+            found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     named = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
