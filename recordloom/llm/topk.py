@@ -22,45 +22,57 @@ from pyspark.sql import functions as F
 from .vectors import blocks, k_best, search, usable
 
 #: shares of the lists read after each stretch
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+DEPTHS = (1 / 8, 1 / 2, 3 / 4, 1.0)
 
 
 class SortedLists:
-    """A block's lists, sorted upwards, and each candidate's place in them."""
+    """A block's lists: its rows, their places in the lists (sorted upwards), and both ends of each list."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.place = np.empty_like(self.order, dtype=np.int32)
-        np.put_along_axis(self.place, self.order, np.arange(len(x), dtype=np.int32)[:, None] * np.ones((1, x.shape[1]), np.int32), 0)
-        self.sorted = np.take_along_axis(x, self.order, 0)
-
-    def best(self, query_id: int, q: np.ndarray, k: int, slack: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best."""
-        n, d = self.x.shape
-        other = self.ids != query_id
-        if not other.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = min(k, int(other.sum()))
-        down = q > 0  # read from the high end
-        products = self.x * q
-        place = np.where(down, n - 1 - self.place, self.place)
-        worst = np.where(down, self.sorted[0], self.sorted[-1]) * q
+        self.ids = ids
+        # whole numbers, exact in single precision where all sums stay below 2**24
+        small = float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] < 1 << 23
+        self.x = x.astype(np.float32 if small else np.float64)
+        order = np.argsort(self.x, axis=0, kind="stable")
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(x), dtype=np.int32)[:, None], order.shape), 0)
+        self.sorted = np.take_along_axis(self.x, order, 0)
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, slack: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, scores) of the k best for each query.
+
+        A list is read from its high end for a positive component and from its low end for a negative one; all
+        queries of the block read to the same depth, so the bounds of all are products of matrices.
+        """
+        n = len(self.x)
+        kind = self.x.dtype if float(np.abs(queries).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * self.x.shape[1] < 1 << 23 else np.float64
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1).astype(kind)
+        worst = signed * np.concatenate([self.sorted[0], self.sorted[-1]])
+        out: list = [(np.zeros(0, np.int64),) * 2] * len(queries)
+        active = np.arange(len(queries))
         for depth in DEPTHS:
             read = max(1, int(np.ceil(n * depth)))
-            at = np.where(down, self.sorted[n - read], self.sorted[read - 1]) * q
-            seen = place < read
-            known = np.where(seen, products, 0).sum(1)
-            hidden = (~seen).astype(np.float64)
-            lower, upper = known + hidden @ worst, known + hidden @ at
-            lower[~other] = -np.inf
-            bar = np.partition(lower, n - k)[n - k]
-            viable = np.flatnonzero((upper >= bar) & other)
-            if len(viable) <= max(slack * k, n // 16) or depth == 1.0:
+            high, low = self.place >= n - read, self.place < read
+            shown = np.concatenate([self.x * high, self.x * low], 1).astype(kind)
+            hidden = np.concatenate([~high, ~low], 1).astype(kind)
+            at = signed * np.concatenate([self.sorted[n - read], self.sorted[read - 1]])
+            known = signed[active] @ shown.T
+            lower, upper = known + worst[active] @ hidden.T, known + at[active] @ hidden.T
+            own = self.ids[None] == query_ids[active][:, None]
+            lower[own] = upper[own] = -np.inf
+            places = np.minimum(k, n)
+            bar = np.partition(lower, n - places, axis=1)[:, n - places]
+            viable = (upper >= bar[:, None]) & ~own
+            done = (viable.sum(1) <= max(slack * k, n // 16)) | (depth == DEPTHS[-1])
+            for j in np.flatnonzero(done):
+                near = np.flatnonzero(viable[j])
+                scores = (self.x[near].astype(np.float64) @ queries[active[j]]).astype(np.int64)
+                top = k_best(scores, self.ids[near], k)
+                out[active[j]] = near[top], scores[top]
+            active = active[~done]
+            if not len(active):
                 break
-        scores = (self.x[viable] @ q).astype(np.int64)
-        top = k_best(scores, self.ids[viable], k)
-        return viable[top], scores[top]
+        return out
 
 
 def quantised(scale: float):
@@ -86,8 +98,7 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_bl
             if key not in lists:
                 lists.clear()
                 lists[key] = SortedLists(c_ids, x)
-            for i, v in zip(q_ids, q, strict=True):
-                at, scores = lists[key].best(i, v, k)
+            for i, (at, scores) in zip(q_ids, lists[key].best(q_ids, q, k), strict=True):
                 out.append((np.full(len(at), i), c_ids[at], scores))
         return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
