@@ -17,7 +17,8 @@ of unlike sizes.  What survives is verified on the texts.
 Rounds.  Links within a component need not be known for its class, so pairs are never expanded inside a
 group of near copies: first each node is compared with one leader of its blocks, then in ``FORESTS``
 rounds with a few nodes of other components that the tree joins give, then all surviving pairs between
-different components are compared.  After that no link between two components is missing.
+different components are compared (of blocks of one leaf, those that the first of these rounds put off).
+After that no link between two components is missing.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer than five words are one
 shingle; repeated rows share a class; a class is named by its smallest doc_id (null ids come last); an
@@ -40,7 +41,7 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: groups of a point and of a large set's point; sets below BELOW have the first, from ABOVE on the second, between both
 GROUPS, LARGE_GROUPS, BELOW, ABOVE = 1024, 8192, 2048, 1500
-FORESTS, TRIES, CHUNK = 1, 12, 2048
+FORESTS, TRIES, CHUNK = 2, 12, 2048
 #: rows of a side that is broadcast; beyond that it is joined by key
 BROADCAST_ROWS = 500_000
 #: a shingle is common from one in so many documents, and from so many documents
@@ -238,7 +239,7 @@ def tree_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndar
         yield node[x], node[y]
 
 
-def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+def block_pairs(rows: DataFrame, percent: int, forest: bool, turn: int) -> DataFrame:
     """a, b from rows (block, node, comp, n, point, large)."""
 
     def small(starts: np.ndarray, m: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,13 +262,14 @@ def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     def pairs_of(at: np.ndarray, key: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = at[np.unique(node[at], return_index=True)[1]]
         # in another order for each block, so that forests differ
-        at = at[np.argsort(mixed(node[at].view(np.uint64) ^ np.uint64(key & (1 << 64) - 1)))]
+        at = at[np.argsort(mixed(node[at].view(np.uint64) ^ np.uint64((key + turn) & (1 << 64) - 1)))]
         for which, part in (("point", at[size[at] < BELOW]), ("large", at[size[at] >= ABOVE])):
             if len(part) and (comp[part] != comp[part[0]]).any():
                 yield from tree_pairs(node[part], comp[part], size[part], points([packed[which][r] for r in part]), percent, forest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
+        told: list[pd.DataFrame] = []
 
         def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             left, right = [], []
@@ -283,7 +285,11 @@ def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
                 left.append(np.minimum(x, y))
                 right.append(np.maximum(x, y))
             if left:
-                yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+                told.append(pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates())
+            if sum(map(len, told)) > 500_000:  # blocks of one group of copies give many pairs again
+                told[:] = [pd.concat(told).drop_duplicates()]
+                if len(told[0]) > 250_000:
+                    yield told.pop()
 
         for b in batches:
             frame = b if held is None else pd.concat([held, b])
@@ -294,6 +300,8 @@ def block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             held = frame[last]
         if held is not None and len(held):
             yield from flush(held)
+        if told:
+            yield pd.concat(told).drop_duplicates()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
@@ -350,14 +358,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stored(verified(docs, nodes, first, percent))
     found = components(links)
 
+    left_over = None
     for turn in range(FORESTS + 1):
+        last = turn == FORESTS
         labelled = blocks.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        between = labelled.selectExpr("*", f"min(comp) over ({by_key}) as c0", f"max(comp) over ({by_key}) as c1", f"ceil(count(*) over ({by_key}) / {CHUNK}) as chunks").where("c0 <> c1")
-        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        cut = between.withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "n", "comp")
-        pairs = block_pairs(stored(cut).join(nodes.select("node", "point", "large"), "node"), percent, turn < FORESTS)
-        if turn < FORESTS:
-            pairs = pairs.selectExpr("a", "b", "row_number() over (partition by b order by xxhash64(a, b)) as k").where(F.col("k") <= TRIES).select("a", "b")
+        between = labelled.selectExpr("*", *(f"{f} over ({by_key}) as {c}" for f, c in (("min(comp)", "c0"), ("max(comp)", "c1"), ("count(*)", "m")))).where("c0 <> c1")
+        if turn:  # small blocks have given all their pairs
+            between = between.where(F.col("m") > LEAF)
+        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+        cut = between.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        cut = cut.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "n", "comp")
+        pairs = block_pairs(stored(cut).join(nodes.select("node", "point", "large"), "node"), percent, not last, turn)
+        if last:
+            ca, cb = (found.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+            open_ = left_over.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+            pairs = pairs.unionByName(open_.select("a", "b")).distinct()
+        else:
+            ranked = stored(pairs.selectExpr("a", "b", f"row_number() over (partition by b order by xxhash64(a, b, {turn})) as k"))
+            pairs = ranked.where(F.col("k") <= TRIES).select("a", "b")
+            if not turn:
+                left_over = ranked.where(F.col("k") > TRIES).select("a", "b")
         more = stored(verified(docs, nodes, pairs, percent))
         if not more.isEmpty():
             # components are contracted to stars, so only they and the new links are walked
