@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import stored
+from .common import discard, scratch_dir, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -348,10 +348,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).where("doc_id is not null"))
     by_key = "partition by key"
     posted = postings(docs, common, percent).selectExpr("key", "node", "n", *(f"{f} over ({by_key}) as {c}" for f, c in (("min(struct(node, n))", "lo"), ("max(node)", "hi"), ("bit_xor(xxhash64(node))", "x"), ("count(*)", "m"))))
-    posted = stored(posted.where("lo.node <> hi"))
+    spark, posted_path = docs.sparkSession, scratch_dir(docs.sparkSession)
+    posted = stored(posted.where("lo.node <> hi"), posted_path)
     alike = ["lo", "hi", "x", "m"]
     one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
     blocks = stored(posted.join(one, [*alike, "key"], "left_semi").select("key", "node", "n", "lo"))
+    discard(spark, posted_path)
 
     # round 1: each node and the leader of one of its blocks
     first = blocks.where("node <> lo.node").where(like_sizes(F.col("n"), F.col("lo.n"), percent)).groupBy(F.col("node").alias("b")).agg(F.min("lo.node").alias("a"))
@@ -368,7 +370,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         chunks = F.ceil(F.col("m") / CHUNK).cast("int")
         cut = between.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
         cut = cut.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "n", "comp")
-        pairs = block_pairs(stored(cut).join(nodes.select("node", "point", "large"), "node"), percent, not last, turn)
+        cut_path = scratch_dir(spark)
+        pairs = block_pairs(stored(cut, cut_path).join(nodes.select("node", "point", "large"), "node"), percent, not last, turn)
         if last:
             ca, cb = (found.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
             open_ = left_over.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
@@ -379,6 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             if not turn:
                 left_over = ranked.where(F.col("k") > TRIES).select("a", "b")
         more = stored(verified(docs, nodes, pairs, percent))
+        discard(spark, cut_path)
         if not more.isEmpty():
             # components are contracted to stars, so only they and the new links are walked
             found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
