@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import discard, scratch_dir, stored
+from .common import discard, release, scratch_dir, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -354,11 +354,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
     blocks = stored(posted.join(one, [*alike, "key"], "left_semi").select("key", "node", "n", "lo"))
     discard(spark, posted_path)
+    release(spark)
 
     # round 1: each node and the leader of one of its blocks
     first = blocks.where("node <> lo.node").where(like_sizes(F.col("n"), F.col("lo.n"), percent)).groupBy(F.col("node").alias("b")).agg(F.min("lo.node").alias("a"))
     links = stored(verified(docs, nodes, first, percent))
+    release(spark)
     found = components(links)
+    release(spark)
 
     left_over = None
     for turn in range(FORESTS + 1):
@@ -383,6 +386,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 left_over = ranked.where(F.col("k") > TRIES).select("a", "b")
         more = stored(verified(docs, nodes, pairs, percent))
         discard(spark, cut_path)
+        release(spark)
         if not more.isEmpty():
             # components are contracted to stars, so only they and the new links are walked
             found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
