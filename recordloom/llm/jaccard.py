@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posted = stored(posted.where("lo.node <> hi"), posted_path)
     alike = ["lo", "hi", "x", "m"]
     one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
-    blocks = stored(posted.join(one, [*alike, "key"], "left_semi").select("key", "node", "n", "lo"))
+    blocks = stored(posted.select("key", "node", "n", "lo").join(one.select("key"), "key", "left_semi"))
     discard(spark, posted_path)
     release(spark)
 
