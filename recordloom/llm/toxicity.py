@@ -39,6 +39,8 @@ TRIPLE = re.compile(r"([a-z])\1\1|([a-z])\2.*?([a-z])\3")
 DOUBLE = re.compile(r"([a-z])\1+")
 EDGE = ".,;:!?\"'`#%&*^~_-=/\\()[]{}<>|…«»“”‘’„"
 MEMO = 200_000
+#: characters counted at a time
+SLICE = 1 << 20
 ALPHABET = np.zeros(256, np.int32)
 for _c in range(26):
     ALPHABET[97 + _c] = ALPHABET[65 + _c] = 1 + _c
@@ -51,8 +53,10 @@ def trigrams(texts: DataFrame) -> np.ndarray:
         total = np.zeros(27**3, np.int64)
         for b in batches:
             raw = np.frombuffer("  ".join(t for t in b["text"] if t).encode("utf-8", "replace"), np.uint8)
-            c = ALPHABET[raw]
-            total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
+            # the counting takes 25 bytes a character, so it is done by slices that overlap by two
+            for k in range(0, len(raw) - 2, SLICE):
+                c = ALPHABET[raw[k : k + SLICE + 2]]
+                total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"g": at, "n": total[at]})
 
