@@ -349,7 +349,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_key = "partition by key"
     posted = postings(docs, common, percent).selectExpr("key", "node", "n", *(f"{f} over ({by_key}) as {c}" for f, c in (("min(struct(node, n))", "lo"), ("max(node)", "hi"), ("bit_xor(xxhash64(node))", "x"), ("count(*)", "m"))))
     spark, posted_path = docs.sparkSession, scratch_dir(docs.sparkSession)
+    release(spark)
     posted = stored(posted.where("lo.node <> hi"), posted_path)
+    release(spark)
     alike = ["lo", "hi", "x", "m"]
     one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
     blocks = stored(posted.select("key", "node", "n", "lo").join(one.select("key"), "key", "left_semi"))
