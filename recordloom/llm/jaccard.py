@@ -35,13 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import discard, release, scratch_dir, stored
+from .common import batches_of, discard, release, scratch_dir, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
 #: groups of a point and of a large set's point; sets below BELOW have the first, from ABOVE on the second, between both
 GROUPS, LARGE_GROUPS, BELOW, ABOVE = 1024, 8192, 2048, 1500
 FORESTS, TRIES, CHUNK = 2, 12, 2048
+#: texts are handed to Python in batches of so many bytes
+BATCH = "8m"
 #: rows of a side that is broadcast; beyond that it is joined by key
 BROADCAST_ROWS = 500_000
 #: a shingle is common from one in so many documents, and from so many documents
@@ -56,9 +58,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; bytes are taken as UTF-8."""
+    raw = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
     h = np.fromiter(map(xxh3_64_intdigest, raw), np.uint64, len(raw))
     if len(h) == 0:
         return h
@@ -103,7 +105,11 @@ QUADS = np.array([[b >> s & 3 for s in (0, 2, 4, 6)] for b in range(256)], np.ui
 
 
 def points(packed: list[bytes]) -> np.ndarray:
-    return QUADS[np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)].reshape(len(packed), -1)
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    out = np.empty((*raw.shape, 4), np.uint8)
+    for k in range(0, len(raw), 256):  # an index takes eight bytes a place
+        out[k : k + 256] = QUADS[raw[k : k + 256]]
+    return out.reshape(len(packed), -1)
 
 
 def described(docs: DataFrame, percent: int) -> DataFrame:
@@ -132,7 +138,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
                 known.clear()
         yield repeated()
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, large binary, seen long")
 
 
@@ -158,7 +164,7 @@ def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "key long, node long, n int")
+    return docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInPandas(run, "key long, node long, n int")
 
 
 def like_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -252,11 +258,12 @@ def block_pairs(rows: DataFrame, percent: int, forest: bool, turn: int) -> DataF
         low = np.maximum(size[x], size[y]) < BELOW
         for which, of in (("point", low), ("large", ~low)):
             at = np.flatnonzero(of)
-            for k in range(0, len(at), 2048):
-                p, q = x[at[k : k + 2048]], y[at[k : k + 2048]]
+            step = 2048 if which == "point" else 256
+            for k in range(0, len(at), step):
+                p, q = x[at[k : k + step]], y[at[k : k + step]]
                 u, v = points([packed[which][r] for r in p]), points([packed[which][r] for r in q])
                 excess = np.minimum(size[p] - u.sum(1, dtype=np.int64), size[q] - v.sum(1, dtype=np.int64))
-                keep = (100 + percent) * (np.minimum(u, v).sum(1, dtype=np.int64) + excess) >= percent * both[at[k : k + 2048]]
+                keep = (100 + percent) * (np.minimum(u, v).sum(1, dtype=np.int64) + excess) >= percent * both[at[k : k + step]]
                 yield node[p[keep]], node[q[keep]]
 
     def pairs_of(at: np.ndarray, key: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -314,7 +321,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
     members = dealt.select(F.col("a").alias("cell"), "salt", F.col("b").alias("node")).unionByName(dealt.select(F.col("a").alias("cell"), "salt", F.col("a").alias("node")).distinct())
     wanted = stored(members.join(nodes.select("node", "doc_id"), "node"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(side, "doc_id").select("cell", "salt", "node", "text", (F.col("cell") != F.col("node")).cast("int").alias("other"))
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(side, "doc_id").select("cell", "salt", "node", "text", (F.col("cell") != F.col("node")).cast("int").alias("other"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, leader = None, None
@@ -338,6 +345,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """All steps in Python are run here, the plan returned has none."""
     told = stored(described(docs, percent))
     rows = told.where("n is not null").select("doc_id", "n", "node", "point", "large")
     count = rows.count()
@@ -347,7 +360,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = np.sort(common.view(np.uint64))
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).where("doc_id is not null"))
     by_key = "partition by key"
-    posted = postings(docs, common, percent).selectExpr("key", "node", "n", *(f"{f} over ({by_key}) as {c}" for f, c in (("min(struct(node, n))", "lo"), ("max(node)", "hi"), ("bit_xor(xxhash64(node))", "x"), ("count(*)", "m"))))
+    marks = {"lo": "min(struct(node, n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "m": "count(*)"}
+    posted = postings(docs, common, percent).selectExpr("key", "node", "n", *(f"{f} over ({by_key}) as {c}" for c, f in marks.items()))
     spark, posted_path = docs.sparkSession, scratch_dir(docs.sparkSession)
     release(spark)
     posted = stored(posted.where("lo.node <> hi"), posted_path)
