@@ -4,7 +4,8 @@ Sets.  Bytes A-Z become lower case, words are runs without white space, a shingl
 five words.  Documents with equal sets are one node from the start.
 
 Blocks.  Sets of n shingles that reach the threshold share one of the first n - ceil(0.75 n) + 1
-shingles under any common order.  The order is by hash, with common shingles last, so that a passage that
+shingles under any common order, and of the smaller set it is one of the first n - ceil(6/7 n) + 1, so
+a shingle that no node has so early makes no block.  The order is by hash, with common shingles last, so that a passage that
 many documents share makes no block unless a document is little else.  A shingle in two nodes' prefixes is
 a block; of blocks with the same nodes one is kept, and a large block is cut into pairs of chunks.
 
@@ -79,6 +80,11 @@ def needed(n: np.ndarray | int, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
+def early(n: int, percent: int = PERCENT) -> int:
+    """How many shingles of a prefix may be shared with a set that isn't smaller."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def prefix(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The shingles of s that make blocks; s is sorted."""
     length = len(s) - int(needed(len(s), percent)) + 1
@@ -143,7 +149,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """key, node, n: a row for each shingle of a node's prefix, in each part that has the node."""
+    """key, node, n: a row for each shingle of a node's prefix, in each part that has the node; n is negative beyond the early ones."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +164,7 @@ def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                     p = prefix(s, late, percent)
                     keys.append(p)
                     nodes.append(np.full(len(p), node, np.int64))
-                    sizes.append(np.full(len(p), len(s), np.int32))
+                    sizes.append(np.where(np.arange(len(p)) < early(len(s), percent), len(s), -len(s)).astype(np.int32))
             if len(known) > 1_000_000:
                 known.clear()
             if keys:
@@ -360,13 +366,14 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     common = np.sort(common.view(np.uint64))
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).where("doc_id is not null"))
     by_key = "partition by key"
-    marks = {"lo": "min(struct(node, n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "m": "count(*)"}
-    posted = postings(docs, common, percent).selectExpr("key", "node", "n", *(f"{f} over ({by_key}) as {c}" for c, f in marks.items()))
+    # x and y name a block's nodes; x alone would not tell nodes that come twice
+    marks = {"lo": "min(struct(node, abs(n) as n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "y": "sum(xxhash64(node) & 1073741823)", "m": "count(*)", "near": "max(n)"}
+    posted = postings(docs, common, percent).selectExpr("key", "node", "abs(n) as n", *(f"{f} over ({by_key}) as {c}" for c, f in marks.items()))
     spark, posted_path = docs.sparkSession, scratch_dir(docs.sparkSession)
     release(spark)
-    posted = stored(posted.where("lo.node <> hi"), posted_path)
+    posted = stored(posted.where("lo.node <> hi and near > 0").drop("near"), posted_path)
     release(spark)
-    alike = ["lo", "hi", "x", "m"]
+    alike = ["lo", "hi", "x", "y", "m"]
     one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
     blocks = stored(posted.select("key", "node", "n", "lo").join(one.select("key"), "key", "left_semi"))
     discard(spark, posted_path)
