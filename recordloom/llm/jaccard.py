@@ -149,7 +149,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """key, node, n: a row for each shingle of a node's prefix, in each part that has the node; n is negative beyond the early ones."""
+    """key, node, n: a row for each shingle of a node's prefix, in each part that has the node; n is twice the set's size, and one more for the early ones."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +164,7 @@ def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                     p = prefix(s, late, percent)
                     keys.append(p)
                     nodes.append(np.full(len(p), node, np.int64))
-                    sizes.append(np.where(np.arange(len(p)) < early(len(s), percent), len(s), -len(s)).astype(np.int32))
+                    sizes.append((2 * len(s) + (np.arange(len(p)) < early(len(s), percent))).astype(np.int32))
             if len(known) > 1_000_000:
                 known.clear()
             if keys:
@@ -367,8 +367,8 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).where("doc_id is not null"))
     by_key = "partition by key"
     # x and y name a block's nodes; x alone would not tell nodes that come twice
-    marks = {"lo": "min(struct(node, abs(n) as n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "y": "sum(xxhash64(node) & 1073741823)", "m": "count(*)", "near": "max(n)"}
-    posted = postings(docs, common, percent).selectExpr("key", "node", "abs(n) as n", *(f"{f} over ({by_key}) as {c}" for c, f in marks.items()))
+    marks = {"lo": "min(struct(node, shiftright(n, 1) as n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "y": "sum(xxhash64(node) & 1073741823)", "m": "count(*)", "near": "max(n & 1)"}
+    posted = postings(docs, common, percent).selectExpr("key", "node", "shiftright(n, 1) as n", *(f"{f} over ({by_key}) as {c}" for c, f in marks.items()))
     spark, posted_path = docs.sparkSession, scratch_dir(docs.sparkSession)
     release(spark)
     posted = stored(posted.where("lo.node <> hi and near > 0").drop("near"), posted_path)
