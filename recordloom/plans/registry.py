@@ -98,7 +98,7 @@ sql("dedup_keep_longest", f"WITH {LONGEST} SELECT doc_id, title, doi, place FROM
 
 def banded(spark, d) -> DataFrame:
     df = longest(spark, d)
-    c = rules.scored(F.col("title"), F.substring("abstract", 81, 400), RULES)
+    c = rules.scored(F.col("title"), F.col("abstract"), RULES)
     return df.select("doc_id", "title", "abstract", "place", *(v.alias(k) for k, v in c.items()))
 
 
@@ -158,7 +158,7 @@ sql("band_groups", sql_bands() + " SELECT CASE WHEN band <= 2 THEN 'screen' WHEN
 
 @query
 def facet_setops(spark, d):
-    x, y = rules.facet_names(F.lower(title()), RULES), rules.facet_names(F.lower(F.substring("text", 81, 400)), RULES)
+    x, y = rules.facet_names(F.lower(title()), RULES), rules.facet_names(F.lower("text"), RULES)
     return t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_union(x, y)), "+").alias("either"), F.array_join(F.array_sort(F.array_except(y, x)), "+").alias("only_ext"), long(F.size(F.array_union(x, y))).alias("n"))
 
 
