@@ -22,3 +22,10 @@ def test_abstract_is_banded_whole(spark, at):
     assert {r.doc_id: r.band for r in q["rank_emit"](spark, d).collect()} == {1: 1, 2: 5, 3: 1}
     assert {r.band_group: r.n for r in q["band_groups"](spark, d).collect()} == {"screen": 2, "excluded": 1}
     assert {r.doc_id: r.only_ext for r in q["facet_setops"](spark, d).collect()} == {1: "LINK", 2: "", 3: ""}
+
+
+def test_exclusion_list_is_the_benchmark(spark, at):
+    opening = "the same opening line of many records, "
+    at("benchmark", [(1, opening + "listed"), (2, " ")], "item_id long, text string")
+    d = at("documents", [(7, opening + "other", "en"), (8, " " + opening.upper() + " Listed", "en"), (14, opening + "third", "de"), (15, "", "fr"), (16, None, "fr")], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in registry.queries()["exclude_anti"](spark, d).collect()) == [7, 14, 15, 16]
