@@ -61,6 +61,28 @@ def first_hits(records: DataFrame, title: str, order: Sequence[Column], patterns
     return hits.withColumn("__r", first).where("__r = 1").select("pattern", key)
 
 
+def alike(names: DataFrame, name: str, least: float) -> DataFrame:
+    """a < b: the pairs of distinct names whose shared characters allow 2 M / T to reach ``least``, which is above 0.
+
+    M is at most the number of characters in common, each counted as often as in both.  So both lengths are at
+    least ``least / (2 - least)`` of one another, a name shares at least that part of its characters with the
+    other, and two names that share so many have one in common among the rarest of each (prefix filter).
+    """
+    each = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))
+    nth = F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, 1, i + 1), lambda y: y == x)).cast("string")))
+    named = names.where(F.length(name) > 0).select(F.col(name).alias("a"), nth.alias("chars"))
+    chars = named.select("a", F.explode("chars").alias("c"))
+    ranked = chars.join(chars.groupBy("c").agg(F.count("*").alias("n")), "c").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("chars"))
+    due = F.ceil(F.lit(least / (2 - least)) * F.size("chars") - 1e-9).cast("int")
+    ranked = ranked.select("a", F.col("chars")["c"].alias("chars"), F.slice(F.col("chars")["c"], 1, F.size("chars") - F.greatest(due, F.lit(1)) + 1).alias("first"))
+    left = ranked.select("a", F.col("chars").alias("__a"), F.col("first").alias("__p"), F.explode("first").alias("__c"))
+    right = ranked.select(F.col("a").alias("b"), F.col("chars").alias("__b"), F.col("first").alias("__q"), F.explode("first").alias("__c"))
+    total, shared = F.size("__a") + F.size("__b"), F.size(F.array_intersect("__a", "__b"))
+    # a pair comes once, from the first character that both prefixes hold
+    once = F.array_min(F.array_intersect("__p", "__q")) == F.col("__c")
+    return left.join(right, "__c").where("a < b").where((2 * F.least(F.size("__a"), F.size("__b")) >= least * total) & once & (2 * shared >= least * total)).select("a", "b")
+
+
 def guarded_match(pairs: DataFrame, a: Column, b: Column, ratio: Callable[[Column, Column], Column], least: float = 0.85) -> DataFrame:
     """Pairs whose ratio reaches the threshold; a bound by lengths spares most ratios: 2 min / (a + b)."""
     la, lb = F.length(a), F.length(b)

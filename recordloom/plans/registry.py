@@ -554,17 +554,17 @@ CASE WHEN n % 3 = 1 THEN true WHEN n % 6 >= 4 THEN n % 3 = 0 WHEN n % 6 <= 1 THE
 
 @query
 def title_similarity(spark, d):
-    """Ratcliff-Obershelp ratio of names that share a first letter; not sayable in SQL."""
+    """Ratcliff-Obershelp ratio of names, of all pairs that reach 0.6; not sayable in SQL."""
     names = t(spark, d, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")), names.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k"))
-    return lookup.guarded_match(a.join(b, "k").where("a < b"), F.col("a"), F.col("b"), X.similarity_ratio, 0.6).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return lookup.guarded_match(lookup.alike(names, "p_name", 0.6), F.col("a"), F.col("b"), X.similarity_ratio, 0.6).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @query
 def title_distance(spark, d):
+    """All pairs of names: a distance without a threshold has no bound to block by."""
     names = t(spark, d, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")), names.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k"))
-    return a.join(b, "k").where("a < b").select("a", "b", long(F.levenshtein("a", "b")).alias("distance"))
+    a, b = names.select(F.col("p_name").alias("a")), names.select(F.col("p_name").alias("b"))
+    return a.join(b, F.expr("a < b")).select("a", "b", long(F.levenshtein("a", "b")).alias("distance"))
 
 
 sql("title_distance", "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON substring(a.p_name,1,1) = substring(b.p_name,1,1) AND a.p_name < b.p_name")

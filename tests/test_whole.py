@@ -1,5 +1,8 @@
 """Queries read all of a record: small tables whose result hangs on what stands late or apart."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 
 from recordloom.plans import registry
@@ -29,3 +32,18 @@ def test_exclusion_list_is_the_benchmark(spark, at):
     at("benchmark", [(1, opening + "listed"), (2, " ")], "item_id long, text string")
     d = at("documents", [(7, opening + "other", "en"), (8, " " + opening.upper() + " Listed", "en"), (14, opening + "third", "de"), (15, "", "fr"), (16, None, "fr")], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in registry.queries()["exclude_anti"](spark, d).collect()) == [7, 14, 15, 16]
+
+
+def test_similar_titles_need_no_first_letter(spark, at):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abcdé😀 ") for _ in range(rng.randrange(1, 12))) for _ in range(90)} | {"forest green", "green forest", "dark forest", "x"})
+    d = at("part", [(n,) for n in [*names, names[0], None, ""]], "p_name string")
+    want = {(a, b): round(r, 6) for a in names for b in names if a < b and (r := SequenceMatcher(None, a, b).ratio()) >= 0.6}
+    got = registry.queries()["title_similarity"](spark, d).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.ratio for r in got} == want
+    assert any(a[0] != b[0] for a, b in want)
+
+
+def test_title_distance_of_all_pairs(spark, at):
+    d = at("part", [("kitten",), ("sitting",), ("kit",), ("kit",)], "p_name string")
+    assert {(r.a, r.b, r.distance) for r in registry.queries()["title_distance"](spark, d).collect()} == {("kit", "kitten", 3), ("kit", "sitting", 5), ("kitten", "sitting", 3)}
