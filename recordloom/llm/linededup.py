@@ -1,9 +1,9 @@
 """Line deduplication by site-relative frequency, in DataFrame functions only.
 
 For each host, a line's ratio is (pages of the host that contain it) / (pages of the host).  Lines
-whose ratio is above ``ratio`` and that stand on at least ``min_pages`` pages are boilerplate and are
-dropped from every page of that host.  Exact copies of a page are one page, on both sides of the
-division, so a page is not taken for boilerplate because it was crawled often.
+whose ratio is above ``ratio`` and that stand on at least ``min_pages`` pages (two: one page repeats
+nothing) are boilerplate and are dropped from every page of that host.  Exact copies of a page are one
+page, on both sides of the division, so a page is not taken for boilerplate because it was crawled often.
 
 A host has at most (lines per page) / ratio such lines, so the list kept for a host is short however
 many pages it has, and a page is cleaned in place: texts are not shuffled and lines not regrouped.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-RATIO, MIN_PAGES = 0.05, 5
+RATIO, REPEATED = 0.05, 2
+#: the SQL's floor
+MIN_PAGES = 5
 #: hosts whose lists are broadcast; beyond that, the lists are joined by host
 BROADCAST_LINES = 1_000_000
 NO_HOST = "\x00"
@@ -36,7 +38,7 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """host, lines: the hashes of each host's boilerplate lines."""
     pages = docs.where(F.col("text").isNotNull()).select(
         F.coalesce(host, F.lit(NO_HOST)).alias("host"), F.xxhash64("text").alias("page"), F.array_distinct(line_hashes(F.col("text"))).alias("lines"))
@@ -46,7 +48,7 @@ def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages:
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """``docs`` with cleaned ``text`` and a column ``dropped_lines``."""
     found = stored(boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias("__host"), F.col("lines").alias("__lines")))
     size = found.agg(F.sum(F.size("__lines"))).head()[0] or 0

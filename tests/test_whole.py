@@ -4,7 +4,9 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
+from recordloom.llm import linededup
 from recordloom.plans import registry
 
 
@@ -47,3 +49,8 @@ def test_similar_titles_need_no_first_letter(spark, at):
 def test_title_distance_of_all_pairs(spark, at):
     d = at("part", [("kitten",), ("sitting",), ("kit",), ("kit",)], "p_name string")
     assert {(r.a, r.b, r.distance) for r in registry.queries()["title_distance"](spark, d).collect()} == {("kit", "kitten", 3), ("kit", "sitting", 5), ("kitten", "sitting", 3)}
+
+
+def test_footer_of_a_small_host_goes(spark):
+    df = spark.createDataFrame([(i, f"own {i}\nfooter", "small") for i in range(4)] + [(9, "only\nfooter", "single")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in linededup.drop_boilerplate(df, F.col("source")).collect()} == {**{i: f"own {i}" for i in range(4)}, 9: "only\nfooter"}
