@@ -22,8 +22,9 @@ different components are compared (of blocks of one leaf, those that the first o
 After that no link between two components is missing.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer than five words are one
-shingle; repeated rows share a class; a class is named by its smallest doc_id (null ids come last); an
-empty table gives an empty result; other columns are ignored.
+shingle; repeated rows share a class; a class is named by its smallest doc_id, and rows without an id
+link as any other (a class of them alone has no name); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,6 +119,12 @@ def points(packed: list[bytes]) -> np.ndarray:
     return out.reshape(len(packed), -1)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, alt; a row without an id is found again by alt, a hash of its text (as a string: pandas has no null integers)."""
+    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.withColumn("alt", F.when(F.col("doc_id").isNull(), F.xxhash64("text").cast("string")))
+
+
 def described(docs: DataFrame, percent: int) -> DataFrame:
     """Rows of documents (doc_id, n, node, points) and, with n null, rows of shingles seen repeatedly in a part (node, seen)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -129,12 +136,12 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
         def repeated() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             held.clear()
-            return pd.DataFrame({"doc_id": None, "n": None, "node": keys[n > 1].view(np.int64), "point": None, "large": None, "seen": n[n > 1]})
+            return pd.DataFrame({"doc_id": None, "n": None, "node": keys[n > 1].view(np.int64), "point": None, "large": None, "seen": n[n > 1], "alt": None})
 
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": pd.array(nodes, "Int64"), "point": [point(s, GROUPS) if 0 < len(s) < BELOW else None for s in sets], "large": [point(s, LARGE_GROUPS) if len(s) >= ABOVE else None for s in sets], "seen": None})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": pd.array(nodes, "Int64"), "point": [point(s, GROUPS) if 0 < len(s) < BELOW else None for s in sets], "large": [point(s, LARGE_GROUPS) if len(s) >= ABOVE else None for s in sets], "seen": None, "alt": b["alt"]})
             for s, node in zip(sets, nodes, strict=True):
                 if node is not None and node not in known:
                     known.add(node)
@@ -144,8 +151,8 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
                 known.clear()
         yield repeated()
 
-    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, large binary, seen long")
+    rows = keyed(docs)
+    return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, large binary, seen long, alt string")
 
 
 def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
@@ -325,9 +332,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / cell).alias("cells"))
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")).select("a", "b", "salt")
     members = dealt.select(F.col("a").alias("cell"), "salt", F.col("b").alias("node")).unionByName(dealt.select(F.col("a").alias("cell"), "salt", F.col("a").alias("node")).distinct())
-    wanted = stored(members.join(nodes.select("node", "doc_id"), "node"))
+    wanted = stored(members.join(nodes.select("node", F.col("doc_id").alias("__id"), F.col("alt").alias("__alt")), "node"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(side, "doc_id").select("cell", "salt", "node", "text", (F.col("cell") != F.col("node")).cast("int").alias("other"))
+    texts = keyed(docs).join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("alt").eqNullSafe(F.col("__alt"))).select("cell", "salt", "node", "text", (F.col("cell") != F.col("node")).cast("int").alias("other"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, leader = None, None
@@ -358,13 +365,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """All steps in Python are run here, the plan returned has none."""
     told = stored(described(docs, percent))
-    rows = told.where("n is not null").select("doc_id", "n", "node", "point", "large")
+    rows = told.where("n is not null").select("doc_id", "n", "node", "point", "large", "alt")
     count = rows.count()
     often = max(COMMON_LEAST, count // COMMON_SHARE)
     # of a mean number m of shingles in a document, at most COMMON_SHARE * m are so common
     common = told.where("n is null").groupBy("node").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= often).select("node").toPandas()["node"].to_numpy(np.int64)
     common = np.sort(common.view(np.uint64))
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).where("doc_id is not null"))
+    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("alt").alias("alt"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).withColumn("alt", F.when(F.col("doc_id").isNull(), F.col("alt"))))
     by_key = "partition by key"
     # x and y name a block's nodes; x alone would not tell nodes that come twice
     marks = {"lo": "min(struct(node, shiftright(n, 1) as n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "y": "sum(xxhash64(node) & 1073741823)", "m": "count(*)", "near": "max(n & 1)"}

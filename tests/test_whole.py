@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import linededup
+from recordloom.llm import jaccard, linededup
 from recordloom.plans import registry
 
 
@@ -54,3 +54,13 @@ def test_title_distance_of_all_pairs(spark, at):
 def test_footer_of_a_small_host_goes(spark):
     df = spark.createDataFrame([(i, f"own {i}\nfooter", "small") for i in range(4)] + [(9, "only\nfooter", "single")], "doc_id long, text string, source string")
     assert {r.doc_id: r.text for r in linededup.drop_boilerplate(df, F.col("source")).collect()} == {**{i: f"own {i}" for i in range(4)}, 9: "only\nfooter"}
+
+
+def test_rows_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = {step: " ".join(words[step : step + 60]) for step in (0, 6, 12)}  # neighbours share 50 of 62 shingles, the ends 44 of 68
+    for one in ([(5, texts[0]), (None, texts[6]), (9, texts[12])], [(5, texts[0]), (None, texts[6]), (None, texts[6]), (9, texts[12]), (None, "a lone text")]):
+        df = spark.createDataFrame(one, "doc_id long, text string").coalesce(1)
+        got = [(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()]
+        assert sorted(got, key=str) == sorted([(d, None if t == "a lone text" else 5) for d, t in one], key=str)
+        assert [r.doc_id for r in jaccard.one_of_each(df).where("doc_id is not null").collect()] == [5]
