@@ -55,8 +55,8 @@ def later_stands(*rounds: Column) -> Column:
 
 
 def first_hits(records: DataFrame, title: str, order: Sequence[Column], patterns: DataFrame, key: str) -> DataFrame:
-    """pattern, key: the first record of each pattern.  patterns is a configuration of at most a few hundred rows."""
-    hits = records.join(F.broadcast(patterns.limit(1000)), F.expr(f"`{title}` rlike pattern"))
+    """pattern, key: the first record of each pattern.  patterns is a configuration, and all of it is used."""
+    hits = records.join(F.broadcast(patterns), F.expr(f"`{title}` rlike pattern"))
     first = F.row_number().over(Window.partitionBy("pattern").orderBy(*order))
     return hits.withColumn("__r", first).where("__r = 1").select("pattern", key)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import jaccard, linededup
+from recordloom.operators import lookup
 from recordloom.plans import registry
 
 
@@ -64,3 +65,9 @@ def test_rows_without_an_id_link(spark):
         got = [(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()]
         assert sorted(got, key=str) == sorted([(d, None if t == "a lone text" else 5) for d, t in one], key=str)
         assert [r.doc_id for r in jaccard.one_of_each(df).where("doc_id is not null").collect()] == [5]
+
+
+def test_all_patterns_are_looked_up(spark):
+    patterns = spark.range(1200).selectExpr("concat('^n', id, '$') as pattern")
+    rows = spark.range(1200).selectExpr("id", "concat('n', id) as name")
+    assert lookup.first_hits(rows, "name", [F.col("id")], patterns, "id").count() == 1200
