@@ -2,47 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import discard, release, scratch_dir, stored
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/recordloom/{uuid.uuid4().hex}"
+__all__ = ["batches_of", "discard", "give_back", "release", "scratch_dir", "spare", "stored", "table"]
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column of ``taken`` has them (in any case of letters)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
-    It cuts the lineage: a lost executor costs the tasks that read the table, not those that made it.
-    """
-    spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder whose readers are done."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans whose results are stored.
-
-    They stay until the driver collects its garbage, which a driver with little to do may not for hours.
-    """
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker stays for the next task, and what it held counts on."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @contextmanager
