@@ -7,28 +7,32 @@ remain with the parent, which then is full itself and leaves it to its own sibli
 filling of each node top-down under the capacities summed bottom-up.
 
 Each leaf's budget is spent as whole epochs plus a token-prefix of the next: rows ordered by a seeded
-hash of doc_id, as many whole rows as fit.  The prefix is found from token sums of ``BUCKETS`` hash
-ranges for each leaf; only rows of the one range where the budget ends are ordered, so a leaf that
-holds a third of all rows is never sorted in a task.
+hash of doc_id and text, as many whole rows as fit.  The prefix is a threshold on that hash: token sums of
+``BUCKETS`` hash ranges for each leaf find the range where the budget ends, sums of as many ranges within it narrow it again, and
+only the few rows left there are ordered, so a leaf that
+holds a third of all rows is never sorted in a task.  Tokens are counted once; the final pass compares hashes.
+
+Up to ``DRIVER_LEAVES`` leaves are dealt on the driver, more by the same rule as rounds of sums over a table of leaves.
 
 Cases: null domain, language or source are values of their own; a null text has no tokens; rows
-without tokens come with any prefix that reaches their place; repeated doc_ids are ordered by a hash of
-their text; unlisted children get ``default_weight``; an empty table gives an empty result; columns
-of the input are kept and ``epoch`` is added.
+without tokens come with any prefix that reaches their place, and a leaf without any token gives none; repeated rows (equal doc_id and
+text) come together or not at all, and null doc_ids are ordered by their text; unlisted children get ``default_weight``; an empty table gives an empty result; columns
+of the input are kept and ``epoch`` is added, in place of a column of that name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spare, stored
 
 BUCKETS = 4096
-#: at most so many leaves reach the driver: the tree of weights is configuration, not data
-MAX_LEAVES = 200_000
+#: so many leaves at most reach the driver
+DRIVER_LEAVES = 100_000
 
 DOMAIN_WEIGHTS = {"web0": 0.4, "web1": 0.3, "web2": 0.2, "web3": 0.1}
 LANGUAGE_WEIGHTS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
@@ -78,36 +82,76 @@ def budgets(leaves: dict[tuple, int], budget: float, max_epochs: int, weights: l
     return {n: int(v + 1e-6) for n, v in given.items() if len(n) == 3}
 
 
-def mix(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 4, seed: int = 7, domains: Mapping = DOMAIN_WEIGHTS, languages: Mapping = LANGUAGE_WEIGHTS, sources: Mapping | None = None, default_weight: float = 0.05) -> DataFrame:
+def spread(leaves: DataFrame, budget: float, max_epochs: int, weights: list[Mapping], default_weight: float) -> DataFrame:
+    """``budgets`` for any number of leaves: k0, k1, k2, t with ``given``, as rounds of sums."""
+    keys = ["k0", "k1", "k2"]
+    name = lambda n: F.concat_ws("\x00", F.lit(""), *(F.coalesce(k, F.lit("\x01")) for k in keys[:n]))
+    base = stored(leaves.select(*keys, "t", (F.col("t") * max_epochs).cast("double").alias("cap")))
+    given = base.agg(F.least(F.coalesce(F.sum("cap"), F.lit(0.0)), F.lit(float(budget))).alias("given")).select(F.lit("").alias("node"), "given")
+    for depth in range(1, 4):
+        listed = weights[depth - 1]
+        weight = reduce(lambda rest, kv: F.when(F.col(keys[depth - 1]).eqNullSafe(F.lit(kv[0])), float(kv[1])).otherwise(rest), listed.items(), F.lit(float(default_weight)))
+        children = base.groupBy(name(depth - 1).alias("up"), name(depth).alias("node"), weight.alias("w")).agg(F.sum("cap").alias("cap"))
+        children = stored(children.join(given.select(F.col("node").alias("up"), F.col("given").alias("amount")), "up").withColumn("full", F.lit(False)))
+        while True:
+            open_ = children.groupBy("up").agg(F.sum(F.when(F.col("full"), F.col("cap"))).alias("used"), F.sum(F.when(~F.col("full"), F.col("w"))).alias("total"))
+            share = F.try_divide(F.greatest(F.lit(0.0), F.col("amount") - F.coalesce("used", F.lit(0.0))) * F.col("w"), F.col("total"))
+            turn = stored(children.join(open_, "up").withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("more", ~F.col("full") & (F.col("total") > 0) & (F.col("share") >= F.col("cap"))))
+            if turn.where("more").isEmpty():
+                break
+            children = turn.withColumn("full", F.col("full") | F.col("more")).select("up", "node", "w", "cap", "amount", "full")
+        given = turn.select("node", F.when(F.col("full"), F.col("cap")).otherwise(F.col("share")).alias("given"))
+    return base.withColumn("node", name(3)).join(given, "node").select(*keys, "t", F.floor(F.col("given") + 1e-6).cast("long").alias("given"))
+
+
+def mix(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 4, seed: int = 7, domains: Mapping = DOMAIN_WEIGHTS, languages: Mapping = LANGUAGE_WEIGHTS, sources: Mapping | None = None, default_weight: float = 0.05, driver_leaves: int = DRIVER_LEAVES) -> DataFrame:
     """Rows of ``docs``, once for each epoch that takes them, with ``epoch`` from 0."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({
-        "__d": domain_of(F.col("source")), "__l": F.col("lang"), "__s": F.col("source"), "__t": token_count(text),
-    })
-    leaves = keyed.groupBy("__d", "__l", "__s").agg(F.sum("__t").alias("t")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"the tree has more than {MAX_LEAVES} leaves; group sources before mixing")
-    held = {(r[0], r[1], r[2]): r.t for r in leaves}
-    given = budgets(held, budget_share * sum(held.values()), max_epochs, [domains, languages, sources or {}], default_weight)
-    rows = [(*leaf, min(max_epochs, given[leaf] // t) if t else 0, given[leaf] % t if t and given[leaf] // t < max_epochs else 0, t) for leaf, t in held.items()]
-    plan = spark.createDataFrame(rows, "__d string, __l string, __s string, __whole int, __rest long, __held long")
-    same = F.col("a.__d").eqNullSafe(F.col("b.__d")) & F.col("a.__l").eqNullSafe(F.col("b.__l")) & F.col("a.__s").eqNullSafe(F.col("b.__s"))
-
-    def with_plan(left: DataFrame, right: DataFrame, take: list[str]) -> DataFrame:
-        return left.alias("a").join(F.broadcast(right.alias("b")), same).select("a.*", *(f"b.{c}" for c in take))
-
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("__whole"))
-    placed = with_plan(keyed, plan, ["__whole", "__rest", "__held"]).withColumn("__o", order).withColumn("__b", F.shiftrightunsigned("__o", 52).cast("int"))
-    # MAX_LEAVES * BUCKETS rows at most, then one row a leaf
-    sums = placed.where("__rest > 0").groupBy("__d", "__l", "__s", "__b", "__rest").agg(F.sum("__t").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy("__d", "__l", "__s").orderBy("__b"))
-    last = sums.withColumn("u", upto).where("u > __rest").groupBy("__d", "__l", "__s").agg(F.min(F.struct("__b", (F.col("u") - F.col("t")).alias("before"))).alias("m"))
-    last = stored(last.select("__d", "__l", "__s", F.col("m.__b").alias("__end"), F.col("m.before").alias("__before")))
-    ended = with_plan(placed, last, ["__end", "__before"])
-    columns = [*docs.columns]
-    whole = placed.where("__whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1))).select(*columns, "epoch")
-    below = ended.where("__b < __end").select(*columns, F.col("__whole").alias("epoch"))
-    running = F.sum("__t").over(Window.partitionBy("__d", "__l", "__s").orderBy(F.shiftrightunsigned("__o", 1), "__o", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    edge = ended.where("__b = __end").withColumn("__u", running).where("__before + __u <= __rest").select(*columns, F.col("__whole").alias("epoch"))
-    return whole.unionByName(below).unionByName(edge)
+    docs = docs.drop("epoch")
+    leaf = [domain_of(F.col("source")), F.col("lang"), F.col("source")]
+    own = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keys = ["k0", "k1", "k2"]
+    narrow = stored(docs.select(*(c.cast("string").alias(k) for k, c in zip(keys, leaf, strict=True)), own.alias("h"), token_count(F.col("text").cast("string")).alias("t")))
+    leaves = narrow.groupBy(*keys).agg(F.sum("t").alias("t"))
+    leaves = stored(leaves)
+    count, total = leaves.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0))).head()
+    weights = [domains, languages, sources or {}]
+    if count <= driver_leaves:
+        held = {(r.k0, r.k1, r.k2): r.t for r in leaves.collect()}
+        given = budgets(held, budget_share * total, max_epochs, weights, default_weight)
+        dealt = spark.createDataFrame([(*k, t, given[k]) for k, t in held.items()], "k0 string, k1 string, k2 string, t long, given long")
+    else:
+        dealt = spread(leaves, budget_share * total, max_epochs, weights, default_weight)
+    epochs = F.least(F.lit(max_epochs), F.coalesce(F.expr("given div nullif(t, 0)"), F.lit(0))).cast("int")
+    plan = dealt.withColumn("whole", epochs).select(*keys, "whole", F.when(F.col("whole") < max_epochs, F.coalesce(F.expr("given % nullif(t, 0)"), F.lit(0))).otherwise(0).alias("rest"))
+    small = F.broadcast if count <= driver_leaves else lambda df: df
+
+    def on_leaf(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+        return left.alias("a").join(small(right).alias("b"), same).select("a.*", *(f"b.{c}" for c in right.columns if c not in keys))
+
+    # place: 63 bits of a hash of the row and its epoch; 12 of them name a range, the next 12 a range within it
+    place = lambda h, whole: F.shiftrightunsigned(F.xxhash64(h, F.lit(seed), whole), 1)
+    rows = on_leaf(narrow, plan.where("rest > 0")).withColumn("o", place(F.col("h"), F.col("whole")))
+    ends = plan.where("rest > 0").select(*keys, F.lit(0).cast("long").alias("low"), F.col("rest").alias("left"))
+    for shift in (51, 39):
+        inside = on_leaf(rows, ends).where(F.shiftright("o", shift + 12) == F.shiftright("low", shift + 12)).withColumn("range", F.shiftright("o", shift))
+        sums = inside.groupBy(*keys, "left", "range").agg(F.sum("t").alias("t"))
+        # a window of BUCKETS rows for each leaf
+        upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("range"))
+        over = sums.withColumn("u", upto).where("u > left").groupBy(*keys).agg(F.min(F.struct("range", (F.col("left") - F.col("u") + F.col("t")).alias("left"))).alias("m"))
+        ends = stored(over.select(*keys, F.shiftleft(F.col("m.range"), shift).alias("low"), F.col("m.left").alias("left")))
+    units = on_leaf(rows, ends).where(F.shiftright("o", 39) == F.shiftright("low", 39)).groupBy(*keys, "low", "left", "o").agg(F.sum("t").alias("t"))
+    fits = units.withColumn("u", F.sum("t").over(Window.partitionBy(*keys).orderBy("o"))).where("u <= left").groupBy(*keys).agg(F.max("o").alias("last"))
+    limits = on_leaf(ends.select(*keys, "low"), plan).alias("a").join(fits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left")
+    limits = limits.select(*(f"a.{k}" for k in keys), F.coalesce("last", F.col("low") - 1).alias("limit"))
+    plan = plan.alias("a").join(limits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left").select("a.*", "b.limit")
+    plan = stored(plan)
+    names = spare(docs.columns, "__d", "__l", "__s")
+    wanted = spare(docs.columns, "__whole", "__limit", "__dd", "__ll", "__ss")
+    side = small(plan.select("whole", "limit", *keys).toDF(*wanted))
+    keyed = docs.withColumns({n: c.cast("string") for n, c in zip(names, leaf, strict=True)})
+    joined = keyed.join(side, reduce(lambda a, b: a & b, (F.col(n).eqNullSafe(F.col(w)) for n, w in zip(names, wanted[2:], strict=True))))
+    taken = F.when(F.col(wanted[0]) > 0, F.sequence(F.lit(0), F.col(wanted[0]) - 1)).otherwise(F.array().cast("array<int>"))
+    more = F.when(place(own, F.col(wanted[0])) <= F.col(wanted[1]), F.array(F.col(wanted[0]))).otherwise(F.array().cast("array<int>"))
+    return joined.withColumn("epoch", F.explode(F.concat(taken, more))).select(*docs.columns, "epoch")
