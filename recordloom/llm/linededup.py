@@ -10,7 +10,7 @@ many pages it has, and a page is cleaned in place: texts are not shuffled and li
 
 Cases: lines are compared without surrounding blanks, blank lines are always kept; a null text stays
 null; a null host is a host of its own; repeated rows are all kept and cleaned; an empty table gives
-an empty result; columns of the input are kept as they are, but for ``text``.
+an empty result; columns of the input are kept as they are, but for ``text``, and ``dropped_lines`` comes in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spare, stored
 
 RATIO, REPEATED = 0.05, 2
-#: the SQL's floor
-MIN_PAGES = 5
 #: hosts whose lists are broadcast; beyond that, the lists are joined by host
 BROADCAST_LINES = 1_000_000
 NO_HOST = "\x00"
@@ -50,17 +48,18 @@ def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages:
 
 def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """``docs`` with cleaned ``text`` and a column ``dropped_lines``."""
-    found = stored(boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias("__host"), F.col("lines").alias("__lines")))
-    size = found.agg(F.sum(F.size("__lines"))).head()[0] or 0
+    docs = docs.drop("dropped_lines")
+    own, at, many = spare(docs.columns, "__host", "__lines", "__host_of")
+    found = stored(boilerplate(docs, host, ratio, min_pages).select(F.col("host").alias(many), F.col("lines").alias(at)))
+    size = found.agg(F.sum(F.size(at))).head()[0] or 0
     side = F.broadcast(found) if size <= BROADCAST_LINES else found
-    joined = docs.withColumn("__host", F.coalesce(host, F.lit(NO_HOST))).join(side, "__host", "left")
+    joined = docs.withColumn(own, F.coalesce(host, F.lit(NO_HOST))).join(side, F.col(own) == F.col(many), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), F.xxhash64(F.trim(x))))
-    hit = F.col("__lines").isNotNull() & F.col("text").isNotNull()
-    return joined.withColumns({
-        "dropped_lines": F.when(hit, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long"),
-        "text": F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")),
-    }).select(*docs.columns, "dropped_lines")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(at), F.xxhash64(F.trim(x))))
+    hit = F.col(at).isNotNull() & F.col("text").isNotNull()
+    dropped = F.when(hit, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long")
+    text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return joined.select(*(text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns), dropped.alias("dropped_lines"))
 
 
 #: DuckDB; {src} is the table
@@ -71,7 +70,7 @@ seen AS (SELECT source, line, count(*) AS n FROM (
     SELECT DISTINCT source, text, trim(line, ' ') AS line FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages))
   WHERE line <> '' GROUP BY source, line),
 often AS (SELECT s.source, list(s.line) AS lines FROM seen s JOIN totals t ON s.source = t.source
-  WHERE s.n >= {MIN_PAGES} AND s.n > {RATIO} * t.pages GROUP BY s.source)
+  WHERE s.n >= {REPEATED} AND s.n > {RATIO} * t.pages GROUP BY s.source)
 SELECT d.doc_id, d.source,
   CASE WHEN o.lines IS NULL THEN d.text ELSE
     array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(o.lines, trim(x, ' '))), chr(10)) END AS text,
