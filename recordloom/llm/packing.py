@@ -2,9 +2,10 @@
 
 A document's ids are cut only if they are more than ``capacity``; then its first piece takes the
 remainder and all others are full, so they need no partner.  Every other piece goes to an open sequence
-(or a new one) such that the sum over gaps of (number of open sequences with that gap) squared becomes
+or a new one, such that the sum over gaps of (number of open sequences with that gap) squared becomes
 smallest.  The rule keeps gaps of all sizes in stock; a task that saw its last piece has no use for
-the stock, so pieces come longest first, and the stock is closed by the short ones.
+the stock, so pieces come longest first, and once there are as many sequences as the tokens fill at least,
+a new one is made only where none has room.
 
 Pieces are packed in cells of about ``cell_pieces`` by a hash of their document, each in one task that
 holds only lengths.  A cell leaves a few sequences open, whatever the size of the input.
@@ -25,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batches_of, give_back, stored
 
 CAPACITY, END_ID = 1024, 2
+#: texts are handed to Python in batches of so many bytes
+BATCH = "8m"
 PIECES = "row long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -70,20 +73,22 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     stock = np.zeros(capacity + 1, np.int64)
     opened: list[list[int]] = [[] for _ in range(capacity + 1)]
-    made = 0
+    made, least, never = 0, -(-int(lengths.sum()) // capacity), np.iinfo(np.int64).max
     for k in np.argsort(-lengths, kind="stable"):
         size = int(lengths[k])
         # a sequence with gap g gets gap g - size: -2 n(g) + 1, and 2 n(g - size) + 1 unless it is full
         after = 2 * stock[: capacity - size + 1] + 1
         after[0] = 0
-        change = np.where(stock[size:] > 0, after - 2 * stock[size:] + 1, np.iinfo(np.int64).max)
+        change = np.where(stock[size:] > 0, after - 2 * stock[size:] + 1, never)
+        if made < least:
+            change[-1] = after[-1]  # a new one adds a gap and takes none away
         best = int(np.argmin(change))
-        if change[best] < np.iinfo(np.int64).max:
-            gap = best + size
+        gap = best + size if change[best] < never else capacity
+        if gap < capacity:
             at = opened[gap].pop()
             stock[gap] -= 1
         else:
-            gap, at, made = capacity, made, made + 1
+            at, made = made, made + 1
         sequence[k], offset[k] = at, capacity - gap
         if gap > size:
             stock[gap - size] += 1
@@ -107,6 +112,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str,
             frame = pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
             frame["doc_id"] = frame["doc_id"].astype(batch["doc_id"].dtype)
             yield frame
+        give_back()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
@@ -115,7 +121,8 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str,
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, cell_pieces: int = 16_384, files: tuple[str, str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): one row a piece."""
-    pieces = stored(tokenized(docs, capacity, files, with_ids))
+    with batches_of(docs.sparkSession, BATCH):
+        pieces = stored(tokenized(docs, capacity, files, with_ids))
     cells = max(1, round(pieces.where(F.col("length") < capacity).count() / cell_pieces))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     extra = ["ids"] * with_ids
