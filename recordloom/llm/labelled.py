@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: at most so many labelled rows are learned from: those with the smallest hashes of their doc_id
 SAMPLE = 16_000
+#: and of these, in order of the hashes, as many whole texts as have so many characters (one at least)
+SAMPLE_CHARS = 100_000_000
+
+
+def within(rows: Iterable[tuple[str, int]], chars: int = SAMPLE_CHARS) -> Iterator[tuple[str, int]]:
+    """The first rows (text, label) that stay within the bound; what one task holds is bounded by it."""
+    for k, (text, y) in enumerate(rows):
+        chars -= len(text)
+        if k and chars < 0:
+            return
+        yield text, y
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -6,7 +6,7 @@ of a word or a word.  A trigram model of the characters of all documents, with a
 the path by Viterbi decoding; a token with a single path is itself.  Then restored text is scored: the
 score is the logistic function of a bias and the weights of distinct lexicon words that it holds.
 
-The lexicon is learned from a bounded sample of labelled rows (labelled.SAMPLE).  A word counts by the different
+The lexicon is learned from a bounded sample of labelled rows (labelled.SAMPLE, SAMPLE_CHARS).  A word counts by the different
 neighbours it has been seen between, so that a passage copied a thousand times counts as one, and
 enters if it is nearly always toxic.  The language model is 27**3 counts summed over all documents.
 
@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE, sample
+from .common import batches_of, give_back
+from .labelled import SAMPLE, sample, within
 
 #: fixed values: what a sign may stand for
 LEET = {
@@ -38,7 +39,9 @@ SIGN, MARK, DROPPED, KEPT = 0.5, 1.0, 0.5, 1.5
 TRIPLE = re.compile(r"([a-z])\1\1|([a-z])\2.*?([a-z])\3")
 DOUBLE = re.compile(r"([a-z])\1+")
 EDGE = ".,;:!?\"'`#%&*^~_-=/\\()[]{}<>|…«»“”‘’„"
-MEMO = 200_000
+MEMO = 100_000
+#: texts are handed to Python in batches of so many bytes
+BATCH = "8m"
 #: characters counted at a time
 SLICE = 1 << 20
 ALPHABET = np.zeros(256, np.int32)
@@ -59,6 +62,7 @@ def trigrams(texts: DataFrame) -> np.ndarray:
                 total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"g": at, "n": total[at]})
+        give_back()
 
     counts = np.zeros(27**3)
     # at most 27**3 rows
@@ -109,8 +113,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, log: list[float], beam: int = 48) -> str:
-    """The cheapest path under the model; states are the last two letters."""
+def decode(token: str, log: list[float]) -> str:
+    """The cheapest path under the model; states are the last two letters, 27 * 27 at most, and none is left out."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(token):
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -124,7 +128,7 @@ def decode(token: str, log: list[float], beam: int = 48) -> str:
                     total, at, way = cost + extra, (a, b), path
                 if at not in new or total < new[at][0]:
                     new[at] = (total, way)
-        states = new if len(new) <= beam else dict(sorted(new.items(), key=lambda s: s[1][0])[:beam])
+        states = new
     (_, path) = min((c - log[a * 729 + b * 27], p) for (a, b), (c, p) in states.items())
     out = []
     while path:
@@ -198,13 +202,18 @@ def learn(documents: Iterator[tuple[list[str], int]], support: int = 5, precisio
         docs.append((ids, y))
         seen[y].update(np.unique(ids).tolist())
     text = {i: w for w, i in names.items()}
-    total: dict[str, list[int]] = {}
+    # only stems that toxic documents hold often enough are counted over all words
+    often = Counter()
+    for i, n in seen[1].items():
+        for s in stems(text[i]):
+            often[s] += n
+    total = {s: [0, 0, 0] for s, n in often.items() if n >= 2 * support}
     for i, w in text.items():
         for s in stems(w):
-            at = total.setdefault(s, [0, 0, 0])
-            at[0] += seen[0][i]
-            at[1] += seen[1][i]
-            at[2] += 1
+            if (at := total.get(s)) is not None:
+                at[0] += seen[0][i]
+                at[1] += seen[1][i]
+                at[2] += 1
     # word or stem: what it counts for, by the words it covers
     entry = {w: (seen[0][i], seen[1][i]) for w, i in names.items() if len(w) > 2 and w.isalpha() and seen[1][i] >= support and seen[1][i] >= precision * (seen[0][i] + seen[1][i])}
     entry |= {s: (c, t) for s, (c, t, forms) in total.items() if forms >= 4 and t >= 2 * support and t >= 0.95 * (c + t)}
@@ -259,16 +268,19 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, n: int = SAMPLE) -> tuple[list[float], float, dict[str, float]]:
     """(model, bias, lexicon weights)."""
-    counts = trigrams(docs)
+    with batches_of(docs.sparkSession, BATCH):
+        counts = trigrams(docs)
     log = Model(counts).log
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(log)
-        bias, weights = learn((restorer.words(t), int(y)) for b in batches for t, y in zip(b["text"], b["y"], strict=True))
+        bias, weights = learn((restorer.words(t), int(y)) for t, y in within(pair for b in batches for pair in zip(b["text"], b["y"], strict=True)))
         words = sorted(weights)
         yield pd.DataFrame({"word": ["", *words], "weight": [bias, *(weights[w] for w in words)]})
+        give_back()
 
-    found = sample(docs, labels, label, learn_from, n).mapInPandas(run, "word string, weight double").collect()
+    with batches_of(docs.sparkSession, BATCH):
+        found = sample(docs, labels, label, learn_from, n).mapInPandas(run, "word string, weight double").collect()
     weights = {r.word: r.weight for r in found}
     bias = weights.pop("", -2.0)
     return Model(counts, weights.keys()).log, bias, weights
@@ -284,6 +296,8 @@ def score_documents(docs: DataFrame, model: tuple[list[float], float, dict[str,
         for b in batches:
             out = pd.DataFrame({"doc_id": b["doc_id"], "score": [scorer(t) for t in b["text"]]})
             yield out.assign(restored=[scorer.restorer.text(t) for t in b["text"]]) if restored else out
+        del scorer
+        give_back()
 
     return kept.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double" + ", restored string" * restored)
 
@@ -291,11 +305,13 @@ def score_documents(docs: DataFrame, model: tuple[list[float], float, dict[str,
 def passing(docs: DataFrame, model: tuple[list[float], float, dict[str, float]], threshold: float = 0.5) -> DataFrame:
     """The documents below the threshold, all columns as they are."""
     log, bias, weights = model
-    text = F.col("text").cast("string")
 
     @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(Restorer(log, frozenset(weights)), bias, weights)
-        return pd.Series([scorer(t) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([scorer(t) for t in texts], dtype="float64")
+        del scorer
+        give_back()
 
-    return docs.where(toxic(text) < threshold)
+    return docs.where(toxic(F.col("text").cast("string")) < threshold)
