@@ -5,7 +5,7 @@ shapes (letters, capitals and digits as classes, runs as one), so that noise in
 a repeated word gives one common feature.  They are presence features scaled to length one; four more tell
 which tenth or so of the n-grams are repeated or different.  A score is the logistic function of a sparse
 dot product.  The model is ``BUCKETS`` weights, fitted in one task on
-a bounded sample (see labelled.SAMPLE) and sent to the tasks that score.
+a bounded sample (see labelled.SAMPLE, SAMPLE_CHARS) and sent to the tasks that score.
 
 Cases: a null or empty text has no n-grams and gets a score of its own share features and the bias; repeated rows get
 equal scores; without usable labels every score is 0.5; an empty table gives an empty result; other
@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE, sample
+from .common import give_back
+from .labelled import SAMPLE, sample, within
 
 BUCKETS, SHARES = 1 << 20, 4
 CLASSES = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -80,12 +81,13 @@ def fit(rows: DataFrame, epochs: int = 3) -> np.ndarray:
     """Weights from rows (text, y), in one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = [(features(t).astype(np.int32), y) for b in batches for t, y in zip(b["text"], b["y"], strict=True)]
+        seen = [(features(t).astype(np.int32), y) for t, y in within(pair for b in batches for pair in zip(b["text"], b["y"], strict=True))]
         model = Leader()
         for k in range(epochs):
             for j in np.random.default_rng(k).permutation(len(seen)):
                 model.learn(*seen[j])
         yield pd.DataFrame({"w": [model.weights().astype(np.float32).tobytes()]})
+        give_back()
 
     found = rows.mapInPandas(run, "w binary").collect()
     return np.frombuffer(bytes(found[0].w), np.float32) if found else np.zeros(BUCKETS + 1, np.float32)
@@ -100,5 +102,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         w = weights.value
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": [score(w, t) for t in b["text"]]})
+        give_back()
 
     return kept.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
