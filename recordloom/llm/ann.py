@@ -1,29 +1,32 @@
 """Approximate nearest neighbours by inner product: anisotropic quantisation, table scans, exact reranking.
 
-Codebooks have 16 words for each pair of dimensions, so a code is four bits.  They are fitted to make
+Codebooks have 16 words for each dimension, so a code is four bits.  They are fitted to make
 small not the plain residual but a score-aware loss: the part of the residual that is parallel to the
 vector counts ``eta`` times, because it is what moves the highest inner products.  Codes are chosen
 by coordinate descent under the same loss.  The fit takes at most ``SAMPLE`` rows (those with the
 smallest hashes of their id); every row is coded.
 
-A query block's tables (query times words) are looked up for all codes of a block; the ``rerank``
-highest estimates of each block are scored exactly on the original vectors, so that each block hands
-on its own best rows and the final order is exact among them.
+Only codes meet the queries: their tables (two dimensions at a time, 256 sums) are looked up for all codes of a cell, and each
+query's ``rerank`` highest estimates of all cells are joined with the original vectors and scored exactly, so the final order is
+exact among them.  ``rerank=None`` scores every row exactly instead.
 
 Cases: vectors null, empty, zero or with null or non-finite components take no part, nor do rows
-without an id; a row is not its own candidate, nor are rows of the same id; ties go to the smaller id,
-in estimates too; with fewer than k candidates all are returned; an empty table gives an empty result.
+without an id; a row is not its own candidate, nor are rows of the same id; rows that share an id are queried each and ranked together; ties go to the smaller id,
+in estimates too; with fewer than k candidates all are returned; vectors of unlike lengths never meet; a length that the sample doesn't hold is
+not coded but sent as it is; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import blocks, k_best, search, usable
 
-SAMPLE, WORDS, WIDTH = 8192, 16, 2
+SAMPLE, WORDS, WIDTH = 8192, 16, 1
 
 
 class Quantiser:
@@ -81,56 +84,80 @@ class Quantiser:
                 self.words[s, w] = np.linalg.solve(left, right)
             along = rest + ((own - self.words[s][codes[:, s]]) * own).sum(1)
 
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        """Codes, two in a byte."""
+        codes = self.encode(x)
+        codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+        return codes[:, 0::2] << 4 | codes[:, 1::2]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """parts x WORDS x queries."""
+        """The products of the words: bytes of a code x 256 x queries."""
         q = self.padded(queries).reshape(len(queries), self.parts, WIDTH)
-        return np.einsum("qsw,skw->skq", q, self.words).astype(np.float32)
+        one = np.einsum("qsw,skw->skq", q, self.words).astype(np.float32)
+        one = np.concatenate([one, np.zeros((self.parts % 2, WORDS, len(q)), np.float32)])
+        return (one[0::2, :, None] + one[1::2, None]).reshape(len(one) // 2, WORDS * WORDS, len(q))
 
-    def scan(self, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def scan(self, tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Estimates, rows x queries, by table look-ups alone."""
-        total = np.zeros((len(codes), tables.shape[2]), np.float32)
-        for s in range(self.parts):
-            total += tables[s][codes[:, s]]
+        total = np.zeros((len(packed), tables.shape[2]), np.float32)
+        for s in range(len(tables)):
+            total += tables[s][packed[:, s]]
         return total
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 64, query_block: int = 512, candidate_block: int = 4096) -> DataFrame:
+def full(blocks_: list[tuple[np.ndarray, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors by their length."""
+    by: dict[int, list] = {}
+    for ids, data in blocks_:
+        x = np.frombuffer(data).reshape(len(ids), -1)
+        by.setdefault(x.shape[1], []).append((ids, x))
+    return {d: tuple(map(np.concatenate, zip(*parts, strict=True))) for d, parts in by.items()}
+
+
+def highest(query_ids: np.ndarray, ids: np.ndarray, estimates: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The k highest of each query (a row of estimates) but its own id."""
+    for i, row in zip(query_ids, estimates, strict=True):
+        row = np.where(ids == i, -np.inf, row)
+        near = k_best(row, ids, k)
+        near = near[np.isfinite(row[near])]
+        yield np.full(len(near), i), ids[near], row[near].astype(np.float64)
+
+
+def nearest(table: DataFrame, is_query, k: int = 20, rerank: int | None = 64, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score for each row with is_query."""
     rows = usable(table, zero=False)
-    n = rows.count()
-    parts = max(1, -(-n // (candidate_block * 9 // 10)))
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(SAMPLE).collect()
-    fitted = {d: Quantiser(np.array([r.v for r in sample if len(r.v) == d])) for d in {len(r.v) for r in sample}}
+    asked = rows.where(is_query(F.col("vec_id")))
+    queries = blocks(asked, np.ndarray.tobytes)
+    sample = [] if rerank is None else rows.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(SAMPLE).collect()
+    fitted = {d: Quantiser(np.array([r.v for r in sample if len(r.v) == d], np.float64)) for d in {len(r.v) for r in sample}}
 
     def coded(x: np.ndarray) -> bytes:
-        if x.shape[1] not in fitted:  # a length that the sample doesn't hold: no codes, all rows are reranked
-            return x.tobytes()
-        codes = fitted[x.shape[1]].encode(x)
-        codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-        return (codes[:, 0::2] << 4 | codes[:, 1::2]).tobytes() + x.tobytes()
-
-    queries = blocks(rows.where(is_query(F.col("vec_id"))), query_block, max(1, parts // 2), np.ndarray.tobytes)
-    candidates = blocks(rows, candidate_block, parts, coded)
-
-    def unit(q_ids, q_data, c_ids, c_data):
-        q = np.frombuffer(q_data).reshape(len(q_ids), -1)
-        d, n = q.shape[1], len(c_ids)
-        packed = (-(-d // WIDTH) + 1) // 2 if d in fitted else 0
-        if len(c_data) != n * (8 * d + packed):
-            return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        x = np.frombuffer(c_data[n * packed :]).reshape(n, d)
-        estimates = None
-        if packed and n > rerank + 1:
-            nibbles = np.frombuffer(c_data[: n * packed], np.uint8).reshape(n, packed)
-            codes = np.stack([nibbles >> 4, nibbles & 15], 2).reshape(n, -1)[:, : fitted[d].parts]
-            estimates = np.ascontiguousarray(fitted[d].scan(fitted[d].tables(q), codes).T)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for j, (i, v) in enumerate(zip(q_ids, q, strict=True)):
-            near = np.arange(n) if estimates is None else k_best(estimates[j], c_ids, rerank + 1)
-            near = near[c_ids[near] != i]
-            scores = np.array([np.dot(x[m], v) for m in near])
-            top = k_best(scores, c_ids[near], k)
-            out.append((np.full(len(top), i), c_ids[near][top], scores[top]))
-        return tuple(np.concatenate(part) for part in zip(*out, strict=True))
-
-    return search(queries, candidates, unit, k, "double")
+        """The length, and codes or, without a fit, the vectors."""
+        q = fitted.get(x.shape[1])
+        return x.shape[1].to_bytes(4, "little") + (q.packed(x) if q else x).tobytes()
+
+    candidates = blocks(rows, coded)
+
+    def unit(left: list, right: list) -> Iterator[tuple[np.ndarray, ...]]:
+        by = full(left)
+        parts: dict[int, list] = {}
+        for ids, data in right:
+            parts.setdefault(int.from_bytes(data[:4], "little"), []).append((ids, data[4:]))
+        for d, found in parts.items():
+            if d not in by:
+                continue
+            ids, (query_ids, q) = np.concatenate([i for i, _ in found]), by[d]
+            raw, fit = np.frombuffer(b"".join(x for _, x in found), np.uint8 if d in fitted else np.float64).reshape(len(ids), -1), fitted.get(d)
+            for s in range(0, len(q), query_block):
+                part = slice(s, s + query_block)
+                estimates = np.ascontiguousarray(fit.scan(fit.tables(q[part]), raw).T) if fit else q[part] @ raw.T
+                yield from highest(query_ids[part], ids, estimates, rerank or k)
+
+    best = search(queries, candidates, unit, rerank or k, "double")
+    if rerank is None:
+        return best
+    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    pairs = best.select("query_id", "vec_id").distinct().join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
+    scored = pairs.where(F.size("v") == F.size("w")).select("query_id", "vec_id", product.alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
