@@ -9,14 +9,23 @@ a shingle that no node has so early makes no block.  The order is by hash, with
 many documents share makes no block unless a document is little else.  A shingle in two nodes' prefixes is
 a block; of blocks with the same nodes one is kept, and a large block is cut into pairs of chunks.
 
-Points.  A node's shingles are hashed into groups (more for large sets); the counts up to three are
+Most shingles stand in one node, so postings travel packed: a task sends each range of keys as one
+binary row (sorted keys as differences, nodes, sizes), and what receives a range keeps the keys of two nodes or more.
+Of these, it keeps nodes that have a partner: one of a like size, such that the smaller of both has the key early.
+Postings of a very common shingle are dealt to several ranges by their node, and the parts of its block are put
+together by sums.
+
+Points.  A node's shingles are hashed into groups, two to four times as many as it has (64 to 16384, powers of two, so that
+the next finer point folds into a coarser one); the counts up to three are
 its point, what they leave out its excess.  Points of a block are indexed by an R-tree.  Two sets
-overlap in at most the summed minima of their coordinates and the smaller excess, and two boxes in at
+overlap in at most the summed minima of their coordinates and the larger excess, and two boxes in at
 most the same of their upper corners; boxes and points below the needed overlap are pruned, and those
 of unlike sizes.  What survives is verified on the texts.
 
+Blocks with one least node meet in a cell, so that a point is sent once for all blocks of a group of copies.
+
 Rounds.  Links within a component need not be known for its class, so pairs are never expanded inside a
-group of near copies: first each node is compared with one leader of its blocks, then in ``FORESTS``
+group of near copies: first each node is compared with the likeliest leader (least node) of its blocks, then in ``FORESTS``
 rounds with a few nodes of other components that the tree joins give, then all surviving pairs between
 different components are compared (of blocks of one leaf, those that the first of these rounds put off).
 After that no link between two components is missing.
@@ -33,23 +42,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import batches_of, discard, release, scratch_dir, stored
+from .common import batches_of, discard, give_back, release, scratch_dir, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
-#: groups of a point and of a large set's point; sets below BELOW have the first, from ABOVE on the second, between both
-GROUPS, LARGE_GROUPS, BELOW, ABOVE = 1024, 8192, 2048, 1500
+#: a point has 2**6 to 2**14 groups, and counts up to three
+LEVELS, MOST = (6, 14), 3
 FORESTS, TRIES, CHUNK = 2, 12, 2048
 #: texts are handed to Python in batches of so many bytes
 BATCH = "8m"
 #: rows of a side that is broadcast; beyond that it is joined by key
 BROADCAST_ROWS = 500_000
-#: a shingle is common from one in so many documents, and from so many documents
-COMMON_SHARE, COMMON_LEAST = 10_000, 16
+#: at most so many shingles are common (8 MB, sent to all tasks): those seen so often, or twice, four times and so on that, that there are no more
+COMMON_MOST, COMMON_LEAST = 1 << 20, 8
+#: rows of blocks that a cell holds at most, about
+CELL = 16_384
+#: postings that a task packs at a time, and those of a range: a thousandth of all, between both
+PACKED, RANGE = 1_000_000, (200_000, 4_000_000)
 LEAF = 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -102,21 +116,30 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array([xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def point(s: np.ndarray, groups: int) -> bytes:
-    """Counts up to three, four of them in a byte."""
-    c = np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % groups, minlength=groups), 3).astype(np.uint8).reshape(-1, 4)
-    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes()
+def level(n):
+    """Groups of the point of n shingles, as a power of two."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) * 2)), *LEVELS).astype(np.int64)
 
 
-QUADS = np.array([[b >> s & 3 for s in (0, 2, 4, 6)] for b in range(256)], np.uint8)
+def point(s: np.ndarray) -> bytes:
+    """Counts up to three, four of them in a byte."""
+    groups = 1 << int(level(len(s)))
+    c = np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), MOST).astype(np.uint8)
+    return (c[0::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
 
 
-def points(packed: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    out = np.empty((*raw.shape, 4), np.uint8)
-    for k in range(0, len(raw), 256):  # an index takes eight bytes a place
-        out[k : k + 256] = QUADS[raw[k : k + 256]]
-    return out.reshape(len(packed), -1)
+def points(packed: list[bytes], groups: int) -> np.ndarray:
+    """Counts, a row for each point; points of the next finer level are folded."""
+    out = np.empty((len(packed), groups), np.uint8)
+    lengths = np.array([len(p) for p in packed])
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        raw = np.frombuffer(b"".join([packed[k] for k in at.tolist()]), np.uint8).reshape(len(at), n)
+        c = np.empty((len(at), 4 * n), np.uint8)
+        for k in range(4):
+            c[:, k::4] = raw >> 2 * k & 3
+        out[at] = c if 4 * n == groups else c.reshape(len(at), -1, groups).sum(1, dtype=np.uint8)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -126,7 +149,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, percent: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node, points) and, with n null, rows of shingles seen repeatedly in a part (node, seen)."""
+    """Rows of documents (doc_id, n, node, point, alt) and, with n null, rows of shingles seen repeatedly in a part (node, seen)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,52 +159,165 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
         def repeated() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             held.clear()
-            return pd.DataFrame({"doc_id": None, "n": None, "node": keys[n > 1].view(np.int64), "point": None, "large": None, "seen": n[n > 1], "alt": None})
+            return pd.DataFrame({"doc_id": None, "n": None, "node": keys[n > 1].view(np.int64), "point": None, "seen": n[n > 1], "alt": None})
 
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": pd.array(nodes, "Int64"), "point": [point(s, GROUPS) if 0 < len(s) < BELOW else None for s in sets], "large": [point(s, LARGE_GROUPS) if len(s) >= ABOVE else None for s in sets], "seen": None, "alt": b["alt"]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": pd.array(nodes, "Int64"), "point": [point(s) if len(s) else None for s in sets], "seen": None, "alt": b["alt"]})
             for s, node in zip(sets, nodes, strict=True):
                 if node is not None and node not in known:
                     known.add(node)
                     held.append(s[: 2 * (len(s) - int(needed(len(s), percent)) + 1)])
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2 * PACKED:
                 yield repeated()
                 known.clear()
         yield repeated()
+        give_back()
 
     rows = keyed(docs)
-    return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, large binary, seen long, alt string")
+    return rows.mapInPandas(run, f"doc_id {id_type}, n long, node long, point binary, seen long, alt string")
+
+
+def pack(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Postings in order of their keys; the bytes of like worth stand together, so that the upper ones take no room."""
+    planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    raw = planes(np.diff(keys, prepend=np.uint64(0))) + nodes.tobytes() + planes(sizes)
+    return len(keys).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def postings(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """key, node, n: a row for each shingle of a node's prefix, in each part that has the node; n is twice the set's size, and one more for the early ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    raw = pa.decompress(blob[4:], 20 * n, "zstd", asbytes=True)
+    plain = lambda part, kind: np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(-1, n).T).view(kind).ravel()
+    return np.cumsum(plain(raw[: 8 * n], np.uint64), dtype=np.uint64), np.frombuffer(raw[8 * n : 16 * n], np.int64), plain(raw[16 * n :], np.uint32)
+
+
+def postings(docs: DataFrame, common: np.ndarray, shares: np.ndarray, ranges: int, bits: int, percent: int) -> DataFrame:
+    """bucket, blob: packed postings (key, node, size) of the shingles of each node's prefix, in each part that has the node.
+
+    A key is the first ``bits`` of a shingle: two that share them make one block, which costs a comparison at most.
+    A size is four times the set's, two more for a key that is dealt to several ranges, and one more for early shingles.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, shares))
+    step = np.uint64((1 << bits) // ranges + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late, share = shared.value
         known: set[int] = set()
-        late = shared.value
+        held: list[tuple] = []
+
+        def packed() -> pd.DataFrame:
+            keys, nodes, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held.clear()
+            bucket = (keys >> np.uint64(64 - bits)) // step
+            if len(late):
+                at = np.minimum(np.searchsorted(late, keys), len(late) - 1)
+                split = (late[at] == keys) & (share[at] > 1)
+                sizes = sizes | (split.astype(np.uint32) << np.uint32(1))
+                turn = mixed(nodes.view(np.uint64)) % share[at].astype(np.uint64)
+                bucket = np.where(split, (bucket + turn) % np.uint64(ranges), bucket)
+            keys = keys >> np.uint64(64 - bits)
+            order = np.lexsort((keys, bucket))
+            keys, nodes, sizes, bucket = keys[order], nodes[order], sizes[order], bucket[order]
+            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int64), "blob": [pack(keys[i:j], nodes[i:j], sizes[i:j]) for i, j in zip(edges, edges[1:], strict=False)]})
+
+        count = 0
         for b in batches:
-            keys, nodes, sizes = [], [], []
             for t in b["text"]:
                 s = shingles(t)
                 if len(s) and (node := node_of(s)) not in known:
                     known.add(node)
                     p = prefix(s, late, percent)
-                    keys.append(p)
-                    nodes.append(np.full(len(p), node, np.int64))
-                    sizes.append((2 * len(s) + (np.arange(len(p)) < early(len(s), percent))).astype(np.int32))
-            if len(known) > 1_000_000:
-                known.clear()
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
+                    held.append((p, np.full(len(p), node, np.int64), (4 * len(s) + (np.arange(len(p)) < early(len(s), percent))).astype(np.uint32)))
+                    count += len(p)
+                    if count >= PACKED:
+                        yield packed()
+                        count = 0
+                    if len(known) > 1_000_000:
+                        known.clear()
+        if count:
+            yield packed()
+        give_back()
 
-    return docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInPandas(run, "key long, node long, n int")
+    return docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInPandas(run, "bucket long, blob binary")
 
 
-def like_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+PARTS = "key long, nodes array<long>, m long, x long, y long, lo long, hi long, near int"
+
+
+def block_parts(packed: DataFrame, percent: int) -> DataFrame:
+    """PARTS: the nodes of each key that have a partner there, of equal blocks of a range one; keys dealt to several ranges as they are.
+
+    Nodes of a key whose sizes are too far apart make blocks of their own, so a block's name is of its key and its number there.
+    """
+
+    def of_range(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+        keys, nodes, sizes = (np.concatenate(part) for part in zip(*map(unpack, blobs), strict=True))
+        order = np.lexsort((nodes, keys))
+        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
+        # a node that two parts hold, or two shingles of a node with one key: early if one of them is
+        flags = np.bitwise_or.reduceat(sizes, starts)
+        keys, nodes, sizes = keys[starts], nodes[starts], (sizes[starts] >> np.uint32(2)).astype(np.int64)
+        is_early, split = flags & np.uint32(1) > 0, flags & np.uint32(2) > 0
+        order = np.lexsort((nodes, sizes, keys))
+        keys, nodes, sizes, is_early, split = keys[order], nodes[order], sizes[order], is_early[order], split[order]
+        same = np.append(keys[1:] == keys[:-1], False)
+        larger = np.append(sizes[1:], 0)
+        # the next larger, if this one has the key early, or the last smaller one that has
+        after = is_early & same & (100 * sizes >= percent * larger)
+        last = np.append(-1, np.maximum.accumulate(np.where(is_early, np.arange(len(keys)), -1))[:-1])
+        before = (last >= 0) & (keys[last] == keys) & (100 * sizes[last] >= percent * sizes)
+        kept = split | after | before
+        keys, nodes, sizes, is_early, split = keys[kept], nodes[kept], sizes[kept], is_early[kept], split[kept]
+        if not len(keys):
+            return
+        new = np.append(True, keys[1:] != keys[:-1])
+        apart = new | np.append(False, (100 * sizes[:-1] < percent * sizes[1:]) & ~split[1:])
+        starts = np.flatnonzero(apart)
+        number = np.arange(len(starts)) - np.maximum.accumulate(np.where(new[starts], np.arange(len(starts)), 0))
+        names = mixed(keys[starts] + number.astype(np.uint64) * M1).view(np.int64)
+        m, split = np.diff(np.append(starts, len(keys))), split[starts]
+        h = mixed(nodes.view(np.uint64))
+        x, y = np.bitwise_xor.reduceat(h, starts).view(np.int64), np.add.reduceat((mixed(h) & np.uint64((1 << 30) - 1)).astype(np.int64), starts)
+        lo, hi, near = np.minimum.reduceat(nodes, starts), np.maximum.reduceat(nodes, starts), np.maximum.reduceat(is_early, starts)
+        whole = np.flatnonzero(~split)
+        _, first = np.unique(np.stack([x[whole], y[whole], m[whole], lo[whole]], 1), axis=0, return_index=True) if len(whole) else (None, whole)
+        out: list[tuple] = []
+        for k in [*np.flatnonzero(split).tolist(), *whole[first].tolist()]:
+            s, n = int(starts[k]), int(m[k])
+            for c in range(s, s + n, CHUNK):
+                # a block's sums are told by its first part
+                out.append((names[k], nodes[c : min(c + CHUNK, s + n)], *((n, x[k], y[k]) if c == s else (0, 0, 0)), lo[k], hi[k], int(near[k])))
+        yield pd.DataFrame(out, columns=["key", "nodes", "m", "x", "y", "lo", "hi", "near"]).astype({"near": "int32"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for b in batches:
+            for bucket, blob in zip(b["bucket"], b["blob"], strict=True):
+                if bucket != at and held:
+                    yield from of_range(held)
+                    held = []
+                at = bucket
+                held.append(blob)
+        if held:
+            yield from of_range(held)
+        give_back()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, PARTS)
+
+
+def blocks_of(parts: DataFrame) -> DataFrame:
+    """key, lo, m, g, nodes of the blocks; of blocks with the same nodes one is kept.  (lo, g) is the cell of a block of a chunk at most."""
+    sums = {"m": "sum(m)", "x": "bit_xor(x)", "y": "sum(y)", "lo": "min(lo)", "hi": "max(hi)", "near": "max(near)"}
+    whole = parts.groupBy("key").agg(*(F.expr(f).alias(c) for c, f in sums.items())).where("lo <> hi and near > 0")
+    # x and y name a block's nodes; x alone would not tell nodes that come twice
+    one = whole.groupBy("lo", "hi", "x", "y", "m").agg(F.min("key").alias("key")).select("key", "lo", "m")
+    cells = one.where(F.col("m") <= CHUNK).groupBy("lo").agg(F.ceil(F.sum("m") / CELL).alias("cells"))
+    one = one.join(cells, "lo", "left").select("key", "lo", "m", F.when(F.col("m") <= CHUNK, F.pmod(F.xxhash64("key"), F.col("cells"))).cast("int").alias("g"))
+    return parts.select("key", "nodes").join(one, "key")
 
 
 class Tree:
@@ -214,7 +350,7 @@ class Tree:
             (ca, ea, la, ma, oa, pa, na), (cb, eb, lb, mb, ob, pb, nb) = self.boxes[i], self.boxes[j]
             if oa is not None and ob is not None and (oa == ob or same(oa) == same(ob)) or 100 * ma < percent * lb or 100 * mb < percent * la:
                 continue
-            if (100 + percent) * (int(np.minimum(ca, cb).sum(dtype=np.int64)) + min(ea, eb)) < percent * (la + lb):
+            if (100 + percent) * (int(np.minimum(ca, cb).sum(dtype=np.int64)) + max(ea, eb)) < percent * (la + lb):
                 continue
             if na is None and nb is None:
                 x, y = np.repeat(pa, len(pb)), np.tile(pb, len(pa))
@@ -224,7 +360,7 @@ class Tree:
                 ok &= np.array([tops[c] for c in self.comp[x].tolist()]) != np.array([tops[c] for c in self.comp[y].tolist()])
                 x, y = x[ok], y[ok]
                 if len(x):
-                    most = np.minimum(self.points[x], self.points[y]).sum(1, dtype=np.int64) + np.minimum(self.excess[x], self.excess[y])
+                    most = np.minimum(self.points[x], self.points[y]).sum(1, dtype=np.int64) + np.maximum(self.excess[x], self.excess[y])
                     ok = (100 + percent) * most >= percent * (self.size[x] + self.size[y])
                     if ok.any():
                         yield x[ok], y[ok]
@@ -258,81 +394,142 @@ def tree_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, at: np.ndar
         yield node[x], node[y]
 
 
-def block_pairs(rows: DataFrame, percent: int, forest: bool, turn: int) -> DataFrame:
-    """a, b from rows (block, node, comp, n, point, large)."""
-
-    def small(starts: np.ndarray, m: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of m rows make a tree of one leaf: their pairs, many blocks at a time."""
-        i, j = np.triu_indices(m, 1)
-        x, y = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
-        ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
-        x, y = x[ok], y[ok]
-        both = size[x] + size[y]
-        low = np.maximum(size[x], size[y]) < BELOW
-        for which, of in (("point", low), ("large", ~low)):
-            at = np.flatnonzero(of)
-            step = 2048 if which == "point" else 256
-            for k in range(0, len(at), step):
-                p, q = x[at[k : k + step]], y[at[k : k + step]]
-                u, v = points([packed[which][r] for r in p]), points([packed[which][r] for r in q])
-                excess = np.minimum(size[p] - u.sum(1, dtype=np.int64), size[q] - v.sum(1, dtype=np.int64))
-                keep = (100 + percent) * (np.minimum(u, v).sum(1, dtype=np.int64) + excess) >= percent * both[at[k : k + step]]
-                yield node[p[keep]], node[q[keep]]
+def bounded(node, size, packed, x: np.ndarray, y: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pairs of places (x, y), those of like sizes that the points allow to link: nodes, nodes, the most overlap in thousandths.
+
+    A pair is looked at under the level of the smaller set; the other's is the same or the next finer one.
+    """
+    ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+    x, y = x[ok], y[ok]
+    own = level(np.minimum(size[x], size[y]))
+    for lv in np.unique(own).tolist():
+        at, groups = np.flatnonzero(own == lv), 1 << lv
+        for k in range(0, len(at), step := max(64, (1 << 20) // groups)):
+            p, q = x[at[k : k + step]], y[at[k : k + step]]
+            u, v = points([packed[r] for r in p.tolist()], groups), points([packed[r] for r in q.tolist()], groups)
+            most = np.minimum(u, v).sum(1, dtype=np.int64) + np.maximum(size[p] - u.sum(1, dtype=np.int64), size[q] - v.sum(1, dtype=np.int64))
+            most, both = np.minimum(most, np.minimum(size[p], size[q])), size[p] + size[q]
+            keep = (100 + percent) * most >= percent * both
+            yield node[p[keep]], node[q[keep]], (1000 * most[keep] // (both[keep] - most[keep])).astype(np.int32)
+
+
+def block_pairs(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
+    """a < b and the most overlap in thousandths, from cells: rows of nodes (kind 0: node, n, comp, point) and of blocks (kind 1: key, nodes).
+
+    A cell without rows of blocks is one block.  mode: 'leaders' (each node and its block's least one), 'forest' (of blocks above a leaf, only pairs that join
+    components that earlier pairs haven't joined) or 'all'.
+    """
 
     def pairs_of(at: np.ndarray, key: int, node, comp, size, packed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        at = at[np.unique(node[at], return_index=True)[1]]
         # in another order for each block, so that forests differ
         at = at[np.argsort(mixed(node[at].view(np.uint64) ^ np.uint64((key + turn) & (1 << 64) - 1)))]
-        for which, part in (("point", at[size[at] < BELOW]), ("large", at[size[at] >= ABOVE])):
-            if len(part) and (comp[part] != comp[part[0]]).any():
-                yield from tree_pairs(node[part], comp[part], size[part], points([packed[which][r] for r in part]), percent, forest)
+        levels = level(size[at])
+        for lv in np.unique(levels).tolist():
+            most = size[at[levels == lv]].max()
+            part = at[(levels == lv) | (levels == lv + 1) & (percent * size[at] <= 100 * most)]
+            if (comp[part] != comp[part[0]]).any():
+                yield from tree_pairs(node[part], comp[part], size[part], points([packed[r] for r in part.tolist()], 1 << lv), percent, mode == "forest")
+
+    def of_cells(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids = frame[["cell", "i", "j"]].to_numpy()
+        cell = np.cumsum(np.append(False, (ids[1:] != ids[:-1]).any(1)))
+        is_node = frame["kind"].to_numpy() == 0
+        own, lists = frame[is_node], frame[~is_node]
+        node, comp, size = (own[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
+        packed, of = own["point"].to_numpy(), cell[is_node]
+        names, rank = np.unique(node, return_inverse=True)
+        place = of * len(names) + rank  # rows come in order of cell and node
+        pairs, large = [], []
+        if len(lists):
+            members, many = np.concatenate(lists["nodes"].tolist()), np.array([len(x) for x in lists["nodes"]])
+            at = np.searchsorted(place, np.repeat(cell[~is_node], many) * len(names) + np.searchsorted(names, members))
+            starts = np.append(0, np.cumsum(many))
+            if mode == "leaders":
+                first = np.minimum.reduceat(at, starts[:-1])  # the least node comes first in its cell
+                pairs.append((np.repeat(first, many), at))
+            else:
+                for m in np.unique(many[many <= LEAF]).tolist():
+                    i, j = np.triu_indices(m, 1)
+                    of_size = starts[:-1][many == m, None]
+                    pairs.append((at[(of_size + i).ravel()], at[(of_size + j).ravel()]))
+                large += [(at[starts[k] : starts[k + 1]], int(lists["key"].iloc[k])) for k in np.flatnonzero(many > LEAF).tolist()]
+        whole = np.setdiff1d(of, cell[~is_node])
+        if len(whole):
+            edges = np.searchsorted(of, [whole, whole + 1])
+            large += [(np.arange(s, e), int(frame["cell"].iloc[int(np.searchsorted(cell, c))])) for s, e, c in zip(*edges.tolist(), whole.tolist(), strict=True)]
+        if pairs:
+            # each pair of nodes once, whichever cells it is in
+            _, here = np.unique(rank, return_index=True)
+            x, y = (rank[np.concatenate(part)].astype(np.int64) for part in zip(*pairs, strict=True))
+            both = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y))
+            x, y = here[both // len(names)], here[both % len(names)]
+            apart = (comp[x] != comp[y]) & (x != y)
+            yield from bounded(node, size, packed, x[apart], y[apart], percent)
+        for at, key in large:
+            for x, y in pairs_of(at, key, node, comp, size, packed):
+                yield x, y, np.zeros(len(x), np.int32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         told: list[pd.DataFrame] = []
 
         def flush(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            left, right = [], []
-            node, comp, size = (frame[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
-            packed = {c: frame[c].to_numpy() for c in ("point", "large")}
-            ids = frame[["key", "i", "j"]].to_numpy()
-            edges = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1))), len(ids))
-            many = np.diff(edges)
-            found = [pair for m in np.unique(many[(many > 1) & (many <= LEAF)]) for pair in small(edges[:-1][many == m], int(m), node, comp, size, packed)]
-            for k in np.flatnonzero(many > LEAF).tolist():
-                found += pairs_of(np.arange(edges[k], edges[k + 1]), int(ids[edges[k], 0]), node, comp, size, packed)
-            for x, y in found:
-                left.append(np.minimum(x, y))
-                right.append(np.maximum(x, y))
-            if left:
-                told.append(pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates())
+            found = list(of_cells(frame))
+            if found:
+                a, b, most = map(np.concatenate, zip(*found, strict=True))
+                told.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "most": most}).drop_duplicates(["a", "b"]))
             if sum(map(len, told)) > 500_000:  # blocks of one group of copies give many pairs again
-                told[:] = [pd.concat(told).drop_duplicates()]
+                told[:] = [pd.concat(told).drop_duplicates(["a", "b"])]
                 if len(told[0]) > 250_000:
                     yield told.pop()
 
         for b in batches:
             frame = b if held is None else pd.concat([held, b])
-            ids = frame[["key", "i", "j"]].to_numpy()
-            # the last block waits for the rest of it; a block has at most twice CHUNK nodes
+            ids = frame[["cell", "i", "j"]].to_numpy()
+            # the last cell waits for the rest of it
             last = (ids == ids[-1]).all(1) if len(ids) else np.zeros(0, bool)
             yield from flush(frame[~last]) if not last.all() else ()
             held = frame[last]
         if held is not None and len(held):
             yield from flush(held)
         if told:
-            yield pd.concat(told).drop_duplicates()
+            yield pd.concat(told).drop_duplicates(["a", "b"])
+        give_back()
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
+    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "kind", "node").mapInPandas(run, "a long, b long, most int")
+
+
+def cells_of(blocks: DataFrame, labelled: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+    """Rows of cells for block_pairs, from rows (key, lo, m, g, node, comp) and points (node, n, point); of blocks between components only.
+
+    A block of a chunk at most is in the cell of its least node; a larger one is cut into pairs of chunks, a cell each.
+    """
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    labelled = labelled.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    apart = labelled.groupBy("key", "m").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    # by chunks, so that a large block isn't one task's
+    apart = apart.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c"))
+    between = labelled.join(apart, ["key", "c"], "left_semi")
+    own = between.where(F.col("m") <= CHUNK).select(F.col("lo").alias("cell"), (-1 - F.col("g")).alias("i"), F.lit(0).alias("j"), "node", "comp").distinct()
+    lists = blocks.where(F.col("m") <= CHUNK).join(apart.select("key").distinct(), "key", "left_semi").select(F.col("lo").alias("cell"), (-1 - F.col("g")).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("kind"), "key", "nodes")
+    if not small:
+        cut = between.where(F.col("m") > CHUNK).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        own = own.unionByName(cut.select(F.col("key").alias("cell"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "comp"))
+    # zeros for what a kind has not: pandas has no null integers
+    zero = F.lit(0).cast("long")
+    lists = lists.withColumns({"node": zero, "comp": zero, "n": zero})
+    return own.join(known, "node").withColumns({"kind": F.lit(0), "key": zero}).unionByName(lists, allowMissingColumns=True)
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, cell: int = 256) -> DataFrame:
-    """The pairs (a, b) that are links.  A text is sent once for each cell it is in: a leader ``a`` and up to about ``cell`` others."""
-    pairs = stored(pairs)
+    """The pairs (a, b) that are links, stored.  A text is sent once for each cell it is in: a leader ``a`` and up to about ``cell`` others."""
+    spark = docs.sparkSession
+    pairs_path, wanted_path = scratch_dir(spark), scratch_dir(spark)
+    pairs = stored(pairs, pairs_path)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / cell).alias("cells"))
     dealt = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")).select("a", "b", "salt")
     members = dealt.select(F.col("a").alias("cell"), "salt", F.col("b").alias("node")).unionByName(dealt.select(F.col("a").alias("cell"), "salt", F.col("a").alias("node")).distinct())
-    wanted = stored(members.join(nodes.select("node", F.col("doc_id").alias("__id"), F.col("alt").alias("__alt")), "node"))
+    wanted = stored(members.join(nodes.select("node", F.col("doc_id").alias("__id"), F.col("alt").alias("__alt")), "node"), wanted_path)
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = keyed(docs).join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("alt").eqNullSafe(F.col("__alt"))).select("cell", "salt", "node", "text", (F.col("cell") != F.col("node")).cast("int").alias("other"))
 
@@ -352,8 +549,13 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
                         found[0].append(c)
                         found[1].append(node)
             yield pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
+        give_back()
 
-    return texts.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "other").mapInPandas(run, "a long, b long").distinct()
+    links = stored(texts.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "other").mapInPandas(run, "a long, b long").distinct())
+    discard(spark, pairs_path)
+    discard(spark, wanted_path)
+    release(spark)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -364,62 +566,71 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """All steps in Python are run here, the plan returned has none."""
+    spark = docs.sparkSession
     told = stored(described(docs, percent))
-    rows = told.where("n is not null").select("doc_id", "n", "node", "point", "large", "alt")
-    count = rows.count()
-    often = max(COMMON_LEAST, count // COMMON_SHARE)
-    # of a mean number m of shingles in a document, at most COMMON_SHARE * m are so common
-    common = told.where("n is null").groupBy("node").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= often).select("node").toPandas()["node"].to_numpy(np.int64)
-    common = np.sort(common.view(np.uint64))
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("alt").alias("alt"), *(F.first(c).alias(c) for c in ("n", "point", "large"))).withColumn("alt", F.when(F.col("doc_id").isNull(), F.col("alt"))))
-    by_key = "partition by key"
-    # x and y name a block's nodes; x alone would not tell nodes that come twice
-    marks = {"lo": "min(struct(node, shiftright(n, 1) as n))", "hi": "max(node)", "x": "bit_xor(xxhash64(node))", "y": "sum(xxhash64(node) & 1073741823)", "m": "count(*)", "near": "max(n & 1)"}
-    posted = postings(docs, common, percent).selectExpr("key", "node", "shiftright(n, 1) as n", *(f"{f} over ({by_key}) as {c}" for c, f in marks.items()))
-    spark, posted_path = docs.sparkSession, scratch_dir(docs.sparkSession)
+    rows = told.where("n is not null").select("doc_id", "n", "node", "point", "alt")
+    total = rows.agg(F.sum("n")).head()[0] or 0
+    seen = stored(told.where("n is null").groupBy("node").agg(F.sum("seen").alias("seen")))
+    turns = [COMMON_LEAST << k for k in range(40)]
+    often = next(c for c, n in zip(turns, seen.agg(*(F.count_if(F.col("seen") >= c) for c in turns)).head(), strict=True) if n <= COMMON_MOST)
+    top = seen.where(F.col("seen") >= often).toPandas()
+    order = np.argsort(top["node"].to_numpy(np.int64).view(np.uint64))
+    common = top["node"].to_numpy(np.int64).view(np.uint64)[order]
+    posted = max(1, int(total * (100 - percent) / 100))
+    in_range = min(max(posted // 1000, RANGE[0]), RANGE[1])
+    ranges = -(-posted // in_range)
+    shares = np.minimum(1 + top["seen"].to_numpy(np.int64)[order] // 8192, ranges)
+    # so many bits that one key in a few thousand is shared by chance
+    bits = min(63, posted.bit_length() + 12)
+    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("alt").alias("alt")).withColumn("alt", F.when(F.col("doc_id").isNull(), F.col("alt"))))
     release(spark)
-    posted = stored(posted.where("lo.node <> hi and near > 0").drop("near"), posted_path)
+    parts_path, blocks_path, known_path = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
+    parts = stored(block_parts(postings(docs, common, shares, ranges, bits, percent), percent), parts_path)
     release(spark)
-    alike = ["lo", "hi", "x", "y", "m"]
-    one = posted.groupBy(*alike).agg(F.min("key").alias("key"))
-    blocks = stored(posted.select("key", "node", "n", "lo").join(one.select("key"), "key", "left_semi"))
-    discard(spark, posted_path)
+    blocks = stored(blocks_of(parts), blocks_path)
+    discard(spark, parts_path)
+    rows_of = blocks.select("key", "lo", "m", "g", F.explode("nodes").alias("node"))
+    in_blocks = rows_of.select("node").distinct()
+    side = F.broadcast(in_blocks) if in_blocks.count() <= BROADCAST_ROWS else in_blocks
+    known = stored(rows.join(side, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")), known_path)
     release(spark)
 
-    # round 1: each node and the leader of one of its blocks
-    first = blocks.where("node <> lo.node").where(like_sizes(F.col("n"), F.col("lo.n"), percent)).groupBy(F.col("node").alias("b")).agg(F.min("lo.node").alias("a"))
-    links = stored(verified(docs, nodes, first, percent))
-    release(spark)
+    # round 1: each node and the likeliest leader of its blocks (of blocks above a chunk, the least)
+    first = block_pairs(cells_of(blocks, rows_of.withColumn("comp", F.col("node")), known, True), percent, "leaders")
+    far = rows_of.where(F.col("m") > CHUNK).where("node <> lo").groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a")).select("a", "b", F.lit(0).alias("most"))
+    first = first.unionByName(far).groupBy("b").agg(F.min_by("a", F.struct(-F.col("most"), F.col("a"))).alias("a"))
+    links = verified(docs, nodes, first, percent)
     found = components(links)
     release(spark)
 
     left_over = None
     for turn in range(FORESTS + 1):
         last = turn == FORESTS
-        labelled = blocks.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        between = labelled.selectExpr("*", *(f"{f} over ({by_key}) as {c}" for f, c in (("min(comp)", "c0"), ("max(comp)", "c1"), ("count(*)", "m")))).where("c0 <> c1")
-        if turn:  # small blocks have given all their pairs
-            between = between.where(F.col("m") > LEAF)
-        chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-        cut = between.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        cut = cut.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "n", "comp")
-        cut_path = scratch_dir(spark)
-        pairs = block_pairs(stored(cut, cut_path).join(nodes.select("node", "point", "large"), "node"), percent, not last, turn)
+        # small blocks give all their pairs in the first turn
+        mine, rows_now = (x if not turn else x.where(F.col("m") > LEAF) for x in (blocks, rows_of))
+        labelled_path, pairs_path = scratch_dir(spark), scratch_dir(spark)
+        labelled = stored(rows_now.join(found, "node", "left").select("key", "lo", "m", "g", "node", F.coalesce("comp", "node").alias("comp")), labelled_path)
+        held = stored(block_pairs(cells_of(mine, labelled, known, False), percent, "all" if last else "forest", turn).select("a", "b").distinct(), pairs_path)
+        discard(spark, labelled_path)
+        release(spark)
         if last:
             ca, cb = (found.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
             open_ = left_over.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-            pairs = pairs.unionByName(open_.select("a", "b")).distinct()
+            pairs = held.unionByName(open_.select("a", "b")).distinct()
         else:
-            ranked = stored(pairs.selectExpr("a", "b", f"row_number() over (partition by b order by xxhash64(a, b, {turn})) as k"))
-            pairs = ranked.where(F.col("k") <= TRIES).select("a", "b")
+            # a few partners of each node, one of each class of a hash
+            pairs = held.groupBy("b", F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(TRIES)).alias("t")).agg(F.min("a").alias("a")).select("a", "b")
             if not turn:
-                left_over = ranked.where(F.col("k") > TRIES).select("a", "b")
-        more = stored(verified(docs, nodes, pairs, percent))
-        discard(spark, cut_path)
-        release(spark)
+                left_over = held.join(pairs, ["a", "b"], "left_anti")
+        more = verified(docs, nodes, pairs, percent)
+        if turn:
+            discard(spark, pairs_path)
         if not more.isEmpty():
             # components are contracted to stars, so only they and the new links are walked
             found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+        release(spark)
+    for path in (blocks_path, known_path):
+        discard(spark, path)
 
     named = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -72,7 +72,7 @@ def test_tree_prunes_nothing_that_links():
     for _ in range(20):
         base = rng.integers(0, 1 << 60, 80).astype(np.uint64)
         sets += [np.unique(np.where(rng.random(80) < p, rng.integers(0, 1 << 60, 80).astype(np.uint64), base)) for p in (0, 0.05, 0.1, 0.2)]
-    at = jaccard.points([jaccard.point(s, jaccard.GROUPS) for s in sets])
+    at = jaccard.points([jaccard.point(s) for s in sets], 1 << int(jaccard.level(80)))
     size, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
     found = {(min(a, b), max(a, b)) for x, y in jaccard.tree_pairs(ids, ids, size, at, 75, False) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     links = {(i, j) for j in ids for i in range(j) if 4 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 3 * (size[i] + size[j] - k)}
@@ -180,14 +180,14 @@ def brute(rows, f, zero):
 
 def test_topk_exact(vectors):
     got = {}
-    for r in topk.top_k(vectors, lambda i: i % 20 == 0, query_block=16, candidate_block=128).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(vectors, lambda i: i % 20 == 0, query_block=16).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute(vectors.collect(), lambda v: np.floor(64 * v), True)
 
 
 def test_ann_recall(vectors):
     got = {}
-    for r in ann.nearest(vectors, lambda i: i % 20 == 0, candidate_block=256).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(vectors, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute(vectors.collect(), lambda v: v, False)
     assert got.keys() == want.keys()
