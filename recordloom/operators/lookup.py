@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..scratch import stored
+
 
 def exclude_listed(records: DataFrame, key: Column, listed: DataFrame, listed_key: Column) -> DataFrame:
     """Records whose key isn't listed; blank keys are never excluded and blank list entries exclude nothing."""
@@ -35,16 +38,37 @@ def backfill(records: DataFrame, target: str, cache: DataFrame, keys: Sequence[C
     return out.withColumns({"filled": own.isNull() & found.isNotNull(), target: F.coalesce(F.when(own.isNotNull(), F.col(target)), found, F.lit(""))}).select(*records.columns, "filled")
 
 
-def fallback_chain(missing: DataFrame, key: str, resolvers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """key, value, stage: each resolver (rows -> key, value) sees only what the ones before didn't find."""
+def side_value(records: DataFrame, key: Column, index: DataFrame, value: str, default: str = "") -> DataFrame:
+    """Records with ``value`` from an index (key, value) of one row a key, or the default."""
+    side = index.select(F.col("key").alias("__i"), F.col(value).alias("__v"))
+    return records.withColumn("__x", key).join(side, F.col("__x") == F.col("__i"), "left").withColumn(value, F.coalesce("__v", F.lit(default))).drop("__x", "__i", "__v")
+
+
+def fallback_chain(missing: DataFrame, key: str, resolvers: Sequence[Callable[[DataFrame], DataFrame]], least: Sequence[int] | None = None) -> DataFrame:
+    """key, value, stage: each resolver (rows -> key, value) sees only what the ones before didn't find.
+
+    A value counts if it isn't blank and longer than the stage's ``least`` (0).  What a stage found is stored, so that no resolver is asked twice.
+    """
     out, left = None, missing
     for stage, resolve in enumerate(resolvers):
-        got = resolve(left).where(F.coalesce("value", F.lit("")) != "").select(key, "value", F.lit(stage).alias("stage"))
+        got = stored(resolve(left).where(F.length(F.coalesce("value", F.lit(""))) > (least[stage] if least else 0)).select(key, "value", F.lit(stage).alias("stage")))
         out = got if out is None else out.unionByName(got)
         left = left.join(got, key, "left_anti")
     return out
 
 
+def wanted(records: DataFrame, doi: Column, abstract: Column, cache: DataFrame) -> DataFrame:
+    """The distinct DOIs, sorted, of records that have one, lack an abstract and aren't in the cache (key, value)."""
+    lacking = records.select(F.lower(X.strip(doi)).alias("doi"), X.strip(abstract).alias("a")).where("doi <> '' and coalesce(a, '') = ''")
+    return not_cached(lacking.select("doi"), F.col("doi"), cache).distinct().orderBy("doi")
+
+
+def merged_cache(cache: DataFrame, found: DataFrame) -> DataFrame:
+    """key, value of a cache and what was found; known keys keep their value, and of several finds of a key the least counts."""
+    new = found.groupBy("key").agg(F.min("value").alias("value")).join(cache, "key", "left_anti")
+    return cache.select("key", "value").unionByName(new)
+
+
 def not_cached(records: DataFrame, key: Column, cache: DataFrame) -> DataFrame:
     return exclude_listed(records, key, cache, F.col("key"))
 
@@ -54,11 +78,33 @@ def later_stands(*rounds: Column) -> Column:
     return F.coalesce(*reversed(rounds))
 
 
-def first_hits(records: DataFrame, title: str, order: Sequence[Column], patterns: DataFrame, key: str) -> DataFrame:
-    """pattern, key: the first record of each pattern.  patterns is a configuration, and all of it is used."""
-    hits = records.join(F.broadcast(patterns), F.expr(f"`{title}` rlike pattern"))
-    first = F.row_number().over(Window.partitionBy("pattern").orderBy(*order))
-    return hits.withColumn("__r", first).where("__r = 1").select("pattern", key)
+def first_hits(records: DataFrame, title: str, order: Sequence[Column], patterns: DataFrame | Sequence[str], key: str) -> DataFrame:
+    """pattern, key: in turn, each pattern's first record in the order that no pattern before it has taken.
+
+    patterns is a configuration, and all of it is used.  Each pattern's first few hits come to the driver, more
+    of them only while some pattern finds all of its own taken.
+    """
+    spark = records.sparkSession
+    listed = [r[0] for r in patterns.select("pattern").collect()] if isinstance(patterns, DataFrame) else list(patterns)
+    kind = records.schema[key].dataType.simpleString()
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "i int, pattern string"))
+    first = F.row_number().over(Window.partitionBy("i").orderBy(*order))
+    hits = records.join(numbers, F.expr(f"`{title}` rlike pattern")).withColumn("r", first)
+    few = 4
+    while True:
+        by: dict[int, list] = {}
+        for h in hits.where(F.col("r") <= few).select("i", "r", F.col(key).alias("k")).collect():
+            by.setdefault(h.i, []).append((h.r, h.k))
+        taken: dict = {}
+        for i in range(len(listed)):
+            got = next((k for _, k in sorted(by.get(i, ()), key=lambda x: x[0]) if k not in taken), None)
+            if got is not None:
+                taken[got] = i
+            elif len(by.get(i, ())) == few:
+                break
+        else:
+            return spark.createDataFrame([(listed[i], k) for k, i in taken.items()], f"pattern string, `{key}` {kind}")
+        few *= 4
 
 
 def alike(names: DataFrame, name: str, least: float) -> DataFrame:
@@ -87,3 +133,9 @@ def guarded_match(pairs: DataFrame, a: Column, b: Column, ratio: Callable[[Colum
     """Pairs whose ratio reaches the threshold; a bound by lengths spares most ratios: 2 min / (a + b)."""
     la, lb = F.length(a), F.length(b)
     return pairs.where(2 * F.least(la, lb) >= least * (la + lb)).withColumn("ratio", ratio(a, b)).where(F.col("ratio") >= least)
+
+
+def best_match(pairs: DataFrame, a: str, b: str, ratio: str = "ratio") -> DataFrame:
+    """Each a with its likeliest b; of equal ratios the least b."""
+    best = F.min_by(F.struct(b, ratio), F.struct(-F.col(ratio), F.col(b)))
+    return pairs.groupBy(a).agg(best.alias("m")).select(a, f"m.{b}", f"m.{ratio}")

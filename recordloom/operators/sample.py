@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 SEED = "20261016"
 
 
@@ -16,27 +18,33 @@ def draw(key: str, seed: str = SEED) -> Column:
 
 def terciles(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """With tercile 0, 1, 2: thirds of the order, the remainder in the last."""
-    n = F.count("*").over(Window.partitionBy())
-    third = F.floor(n / 3)
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("__p", place).withColumn("tercile", F.when(F.col("__p") < third, 0).when(F.col("__p") < 2 * third, 1).otherwise(2)).drop("__p")
+    placed = numbered(rows, order, "__p")
+    third = placed.count() // 3
+    return placed.withColumn("tercile", F.when(F.col("__p") <= third, 0).when(F.col("__p") <= 2 * third, 1).otherwise(2)).drop("__p")
 
 
-def stratified(rows: DataFrame, key: str, strata: Sequence[tuple[str, Column, int]], total: int, seed: str = SEED) -> DataFrame:
-    """key, stratum: strata in order, each of at most its size and of rows that no stratum before has taken; then filled up to ``total``.
+def stratified(rows: DataFrame, key: str, strata: Sequence[tuple[str, Column, int]], total: int, seed: str = SEED, known: Sequence = ()) -> DataFrame:
+    """key, stratum: the known keys first, then strata in order, each of at most its size and of rows that none before has taken; then filled up to ``total``.
 
-    A row's stratum is decided by one pass over the ranks for each stratum; only drawn rows are kept between passes.
+    One pass: of each stratum as many rows as can matter (its size, what those before it may take) are ranked before the shuffle and come to the driver.
     """
-    taken: DataFrame | None = None
-    ranked = rows.withColumn("__d", draw(key, seed))
-    for name, condition, size in [*strata, ("top-up", F.lit(True), total)]:
-        pool = ranked.where(condition)
-        pool = pool if taken is None else pool.join(taken, key, "left_anti")
-        got = pool.orderBy("__d", key).limit(size).select(key, F.lit(name).alias("stratum"), "__d")
-        taken = got if taken is None else taken.unionByName(got)
-    order = {n: k for k, (n, _, _) in enumerate([*strata, ("top-up", None, 0)])}
-    rank = F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), F.col("stratum"))
-    return taken.orderBy(rank, "__d", key).limit(total).select(key, "stratum")
+    sizes = [*strata, ("top-up", F.lit(True), total)]
+    most = len(known) + sum(size for _, _, size in sizes)
+    in_stratum = F.array_compact(F.array(*(F.when(condition, F.lit(k)) for k, (_, condition, _) in enumerate(sizes))))
+    drawn = rows.select(F.col(key), draw(key, seed).alias("__d"), F.explode(in_stratum).alias("__s"))
+    place = F.row_number().over(Window.partitionBy("__s").orderBy("__d", key))
+    pools: dict[int, list] = {}
+    for r in drawn.withColumn("__r", place).where(F.col("__r") <= most).collect():
+        pools.setdefault(r["__s"], []).append((r["__r"], r[key]))
+    taken = {k: "known item" for k in known}
+    for k, (name, _, size) in enumerate(sizes):
+        for _, found in sorted(pools.get(k, ()), key=lambda x: x[0]):
+            if size <= 0 or len(taken) >= total:
+                break
+            if found not in taken:
+                taken[found] = name
+                size -= 1
+    return rows.sparkSession.createDataFrame(list(taken.items())[:total], f"`{key}` {rows.schema[key].dataType.simpleString()}, stratum string")
 
 
 def equal_allocation(rows: DataFrame, key: str, by: str, size: int, seed: str = SEED) -> DataFrame:

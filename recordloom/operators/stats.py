@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
+#: groups whose counts are broadcast
+GROUPS = 100_000
+
 
 def summary(rows: DataFrame, by: str, value: Column) -> DataFrame:
-    """Mean, median, extremes and sample deviation (null for a single row)."""
-    fs = {"mean": F.avg, "median": F.median, "low": F.min, "high": F.max, "deviation": F.stddev_samp}
-    return rows.groupBy(by).agg(F.count(value).alias("n"), *(f(value).alias(n) for n, f in fs.items()))
+    """Mean, median, extremes and sample deviation (null for a single row).
+
+    The median is exact: values are numbered in ranges, and the middle one or two of each group are read; no buffer holds a group.
+    """
+    fs = {"mean": F.avg, "low": F.min, "high": F.max, "deviation": F.stddev_samp}
+    base = rows.select(F.col(by), value.alias("v")).groupBy(by).agg(F.count("v").alias("n"), *(f("v").alias(n) for n, f in fs.items()))
+    placed = numbered(rows.select(F.col(by).alias("g"), value.alias("v")).where("v is not null"), [F.col("g"), F.col("v")], "p")
+    firsts = placed.groupBy("g").agg(F.min("p").alias("start"), F.count("*").alias("m")).withColumnRenamed("g", "h")
+    side = F.broadcast(firsts) if firsts.count() <= GROUPS else firsts
+    at = F.col("p") - F.col("start")
+    middle = placed.join(side, F.col("g").eqNullSafe(F.col("h"))).where((at == F.floor((F.col("m") - 1) / 2)) | (at == F.floor(F.col("m") / 2)))
+    median = middle.groupBy(F.col("g").alias("h")).agg(F.avg("v").alias("median"))
+    return base.join(median, F.col(by).eqNullSafe(F.col("h")), "left").select(by, "n", "mean", "median", "low", "high", "deviation")
 
 
 def coverage(condition: Column) -> Column:
@@ -47,6 +62,19 @@ def kappa(table: DataFrame) -> DataFrame:
     return t.withColumns({"low": F.greatest(F.lit(-1.0), k - 1.96 * F.col("se")), "high": F.least(F.lit(1.0), k + 1.96 * F.col("se")), "band": word})
 
 
+def disagreements(rows: DataFrame, decision: str, disagree: Column) -> DataFrame:
+    """decision, n: how many of each automated decision the reviewer disagreed with."""
+    return rows.where(disagree).groupBy(decision).agg(F.count("*").alias("n"))
+
+
+def from_disagreements(rows: DataFrame, decision: Column, disagree: Column) -> DataFrame:
+    """The table yy, yn, ny, nn of automated decision and reviewer: a disagreement means that the reviewer took the other view."""
+    yes = decision == "include"
+    listed = rows.where(decision.isin("include", "exclude"))
+    return confusion(listed, yes, yes != disagree)
+
+
+#: fixed values: what is added in turn
 POOL = (1, 2, 4, 9, 8, 4, 5)
 
 
