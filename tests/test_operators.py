@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom import scratch
 from recordloom.functions import text as X
-from recordloom.operators import dedup, judge, keyword, lookup, sample, stats
+from recordloom.operators import dedup, judge, keyword, lookup, ranks, report, sample, stats
 from recordloom.sources import tables
 from recordloom.streaming import incremental
 
@@ -169,3 +170,134 @@ def test_stream(spark, tmp_path):
     q = incremental.append_rows(out, f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 3]
+
+
+def test_any_number_of_surplus_fields(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('title,venue\nA,1,2,3,4,5,6,7,8,"9, x"\nB,V\n')
+    rows = {r.title: r for r in tables.read_csv(spark, f"file://{tmp_path}/r.csv", "title").collect()}
+    assert (rows["A"].venue, rows["A"].extra_columns) == ("1", "2 | 3 | 4 | 5 | 6 | 7 | 8 | 9, x")
+    assert rows["B"].extra_columns == ""
+
+
+def test_folder(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("year,title\n2020,B\n")
+    (tmp_path / "a.csv").write_text("title,venue\nA,V,more\n")
+    (tmp_path / "c.csv").write_text("Title\nC\n")
+    (tmp_path / "merged_csvs.csv").write_text("title\nown result\n")
+    with pytest.warns(UserWarning, match="no column"):
+        got = tables.read_folder(spark, f"file://{tmp_path}")
+    assert got.columns[:3] == ["title", "venue", "__source_file"] and got.columns[3] == "year"
+    assert sorted((r.title, r.venue, r.year) for r in got.collect()) == [("A", "V", ""), ("B", "", "2020")]
+    with pytest.warns(UserWarning, match="not found"):
+        assert tables.read_csv(spark, f"file://{tmp_path}/none.csv") is None
+    with pytest.warns(UserWarning):
+        assert tables.read_all(spark, [f"file://{tmp_path}/none.csv"]) is None
+
+
+def test_canonical(spark):
+    row = spark.createDataFrame([("T é", "https://doi.org/10.1/X", "2001", "1999", "P", "v", "k1", "k2")], "`Document Title` string, DOI string, `Publication Year` string, year string, `Publication Title` string, venue string, keywords string, `IEEE Terms` string")
+    r = tables.canonical(row).head()
+    assert (r.title, r.nt, r.doi, r.abstract, r.kw, r.year, r.venue, r.link) == ("T é", "t e", "10.1/x", "", " k1  k2", "2001", "P", "")
+    assert tables.canonical(spark.createDataFrame([(" ",)], "title string")).count() == 0
+
+
+def test_config_and_log_columns(spark):
+    with pytest.warns(UserWarning):
+        assert tables.config('{"deduplicate": {"keep": "middle"}, "filters": 3}')["deduplicate"] == {"enabled": True, "keep": "first"}
+    assert tables.config("{}")["output"]["duplicates_csv"] == "duplicates_removed.csv"
+    assert tables.with_log_columns(spark.range(1)).columns == ["id", "decision", "criterion", "notes"]
+    assert [r.stratum for r in tables.with_default_stratum(spark.sql("SELECT explode(array('x', null)) stratum")).collect()] == ["x", "all"]
+
+
+@pytest.mark.parametrize(("text", "want"), [("3×4 a\nb • c", r"3x4 ab c"), ("–—−‘’“” …", "------`'``'' ..."), ("a​b­c", "abc"), (r"\{x}~^_&%$#", r"\textbackslash{}\{x\}\textasciitilde{}\textasciicircum{}\_\&\%\$\#"), (None, ""), ("é Ω", "é")])
+def test_latex(spark, text, want):
+    assert one(spark, text, X.latex) == want
+
+
+def test_forms(spark):
+    assert one(spark, "a b/ü~*-_.|&", X.url_quoted) == "a%20b/%C3%BC~%2A-_.%7C%26"
+    assert one(spark, "x|y/", lambda c: X.url_quoted(c, "|")) == "x|y%2F"
+    assert one(spark, 1234567, X.grouped_number, "long") == "1,234,567"
+    assert one(spark, 1e6, X.exponent, "double") == "1E+06"
+    assert one(spark, 0.5, lambda c: X.number(c, 4), "double") == "0.5000"
+    assert one(spark, "\x1c　 a b \x85", X.strip) == "a b"
+
+
+def test_numbered(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(50) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(values)), "id int, v int").repartition(7)
+    got = ranks.numbered(rows, [F.desc("v"), F.col("id")], "place").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == sorted(range(500), key=lambda i: (-values[i], i))
+    assert sorted(r.place for r in got) == list(range(1, 501))
+    assert ranks.numbered(rows.limit(0), [F.col("v")], "place").count() == 0
+
+
+def test_median_is_exact(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random()])) for _ in range(301)] + [("lone", 2.0), ("empty", None)]
+    got = {r.k: r for r in stats.summary(spark.createDataFrame(rows, "k string, v double"), "k", F.col("v")).collect()}
+    for k in {k for k, _ in rows}:
+        v = sorted(v for g, v in rows if g == k and v is not None)
+        want = (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None
+        assert got[k].median == want if want is None else abs(got[k].median - want) < 1e-12
+        assert got[k].n == len(v)
+
+
+def test_keep_one_and_routes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A", "f"), (2, "a", "g"), (3, "a ", "f"), (4, "b", "g"), (5, None, "f"), (6, None, "f")], "o int, t string, s string")
+    key = X.key_filter(F.col("t"))
+    got = {r.o: r for r in dedup.keep_one(rows, "o", key, "t", "s", last=True).collect()}
+    assert {o: (r.kept, r.duplicate_count, r.duplicate_of_title, r.sources) for o, r in got.items()} == {1: (False, 3, "a ", "f | g"), 2: (False, 3, "a ", "f | g"), 3: (True, 3, "a ", "f | g"), 4: (True, 1, "b", "g"), 5: (False, 2, None, "f"), 6: (True, 2, None, "f")}
+    routed = dedup.routed(rows.where("t is not null"), "o", "t", key, F.col("o") != 3, F.lit("r"))
+    assert {r.o: (r.route, r["__duplicate_count"], r["__duplicate_of_title"]) for r in routed.collect()} == {1: ("included", 2, None), 2: ("duplicates", None, "A"), 3: ("excluded", 1, None), 4: ("included", 1, None)}
+    dedup.write_routes(routed, f"file://{tmp_path}/out")
+    assert {r.route: r.n for r in spark.read.option("header", True).csv(f"file://{tmp_path}/out").groupBy("route").agg(F.count("*").alias("n")).collect()} == {"included": 2, "excluded": 1, "duplicates": 1}
+
+
+def test_known_items_come_first(spark):
+    got = sample.stratified(spark.range(30).withColumnRenamed("id", "k"), "k", [("a", F.col("k") < 10, 4), ("b", F.lit(True), 2)], 9, known=[3, 25]).collect()
+    assert [(r.k, r.stratum) for r in got[:2]] == [(3, "known item"), (25, "known item")]
+    assert [sum(r.stratum == s for r in got) for s in ("a", "b", "top-up")] == [4, 2, 1]
+    assert len({r.k for r in got}) == 9
+
+
+def test_caches(spark, tmp_path):
+    cache = spark.createDataFrame([("x", "old"), ("z", "z")], "key string, value string")
+    merged = lookup.merged_cache(cache, spark.createDataFrame([("x", "new"), ("y", "b"), ("y", "a")], "key string, value string"))
+    tables.write_cache(merged, f"file://{tmp_path}/c")
+    assert {r.key: r.value for r in tables.cache_lines(spark, f"file://{tmp_path}/c").collect()} == {"x": "old", "y": "a", "z": "z"}
+    rows = spark.createDataFrame([("10.1/B ", ""), ("10.1/a", " "), ("10.1/b", None), ("x", ""), ("", ""), ("10.2/c", "has")], "doi string, abstract string")
+    assert [r.doi for r in lookup.wanted(rows, F.col("doi"), F.col("abstract"), cache).collect()] == ["10.1/a", "10.1/b"]
+
+
+def test_best_match(spark):
+    pairs = spark.createDataFrame([("a", "y", 0.9), ("a", "x", 0.9), ("a", "z", 0.1), ("b", "q", 0.2)], "a string, b string, ratio double")
+    assert sorted((r.a, r.b, r.ratio) for r in lookup.best_match(pairs, "a", "b").collect()) == [("a", "x", 0.9), ("b", "q", 0.2)]
+
+
+def test_disagreements(spark):
+    rows = spark.createDataFrame([("include", "d")] * 3 + [("include", "")] * 27 + [("exclude", "Yes")] + [("exclude", None)] * 29, "decision string, disagree string")
+    dis = X.truthy(F.col("disagree"))
+    assert {r.decision: r.n for r in stats.disagreements(rows, "decision", dis).collect()} == {"include": 3, "exclude": 1}
+    assert round(stats.kappa(stats.from_disagreements(rows, F.col("decision"), dis)).head().kappa, 4) == 0.8667
+
+
+def test_progress_is_observed(spark):
+    rows, seen = report.observed(spark.range(10), F.col("id") > 6)
+    assert rows.count() == 10
+    assert seen.get == {"done": 10, "failed": 3}
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:
+            master = "yarn"
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(Cluster)

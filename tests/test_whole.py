@@ -6,7 +6,6 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import jaccard, linededup
 from recordloom.operators import lookup
 from recordloom.plans import registry
 
@@ -47,27 +46,31 @@ def test_similar_titles_need_no_first_letter(spark, at):
     assert any(a[0] != b[0] for a, b in want)
 
 
-def test_title_distance_of_all_pairs(spark, at):
-    d = at("part", [("kitten",), ("sitting",), ("kit",), ("kit",)], "p_name string")
-    assert {(r.a, r.b, r.distance) for r in registry.queries()["title_distance"](spark, d).collect()} == {("kit", "kitten", 3), ("kit", "sitting", 5), ("kitten", "sitting", 3)}
+def test_title_distance_finds_all_near_pairs(spark, at):
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 9))) for _ in range(80)} | {"kitten", "sitting", "kit", "itten"})
+    d = at("part", [(n,) for n in [*names, names[0]]], "p_name string")
 
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
 
-def test_footer_of_a_small_host_goes(spark):
-    df = spark.createDataFrame([(i, f"own {i}\nfooter", "small") for i in range(4)] + [(9, "only\nfooter", "single")], "doc_id long, text string, source string")
-    assert {r.doc_id: r.text for r in linededup.drop_boilerplate(df, F.col("source")).collect()} == {**{i: f"own {i}" for i in range(4)}, 9: "only\nfooter"}
-
-
-def test_rows_without_an_id_link(spark):
-    words = [f"w{i}" for i in range(100)]
-    texts = {step: " ".join(words[step : step + 60]) for step in (0, 6, 12)}  # neighbours share 50 of 62 shingles, the ends 44 of 68
-    for one in ([(5, texts[0]), (None, texts[6]), (9, texts[12])], [(5, texts[0]), (None, texts[6]), (None, texts[6]), (9, texts[12]), (None, "a lone text")]):
-        df = spark.createDataFrame(one, "doc_id long, text string").coalesce(1)
-        got = [(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()]
-        assert sorted(got, key=str) == sorted([(d, None if t == "a lone text" else 5) for d, t in one], key=str)
-        assert [r.doc_id for r in jaccard.one_of_each(df).where("doc_id is not null").collect()] == [5]
+    want = {(a, b, n) for a in names for b in names if a < b and 5 * (n := distance(a, b)) <= 2 * max(len(a), len(b))}
+    assert ("itten", "kitten", 1) in want
+    assert {(r.a, r.b, r.distance) for r in registry.queries()["title_distance"](spark, d).collect()} == want
 
 
 def test_all_patterns_are_looked_up(spark):
     patterns = spark.range(1200).selectExpr("concat('^n', id, '$') as pattern")
     rows = spark.range(1200).selectExpr("id", "concat('n', id) as name")
     assert lookup.first_hits(rows, "name", [F.col("id")], patterns, "id").count() == 1200
+
+
+def test_patterns_take_records_in_turn(spark):
+    rows = spark.createDataFrame([(i, f"a{i} b") for i in range(40)], "id int, name string")
+    got = lookup.first_hits(rows, "name", [F.col("id")], ["a", "b", "zzz", *["a.* b"] * 20, "a1 "], "id").collect()
+    assert [(r.pattern, r.id) for r in got] == [("a", 0), ("b", 1), *[("a.* b", i) for i in range(2, 22)]]
