@@ -59,6 +59,8 @@ ENDS = {"p": frozenset("address article aside blockquote center details dialog d
 #: what the end of an implied element does not reach over
 FENCE = frozenset("table td th ul ol dl div article section main body blockquote aside header".split())
 PARAGRAPH = frozenset(["p", "pre", "td", "blockquote"])
+#: parts of a table or list, which is kept whole
+PIECES = frozenset("tr td th tbody thead tfoot li dt dd".split())
 
 
 #: the other way round: the open tags that a tag ends
@@ -247,7 +249,7 @@ def main_text(html: str | None) -> str:
                 return text_of([max(found, key=lambda x: x.length)])
         return text_of([root])
     best = max(scored, key=lambda x: x.points * (1 - density(x)))
-    while best.tag in INLINE and best.parent is not None:
+    while best.tag in INLINE | PIECES and best.parent is not None:
         best = best.parent
     # an article holds its own headings and lists, also where a part of it scores best
     up = best
