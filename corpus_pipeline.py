@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import jaccard, linededup, mixing, packing, toxicity
-from recordloom.llm.common import stored, table
+from recordloom.llm.common import release, stored, table
 from recordloom.llm.labelled import remainder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        release(spark)
     return docs
