@@ -5,9 +5,26 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` makes inside without a path are removed at the end; what is still to be read gets a path of its own."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            discard(spark, path)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
@@ -29,7 +46,10 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     It cuts the lineage: a lost executor costs the tasks that read the table, not those that made it.
     """
     spark = df.sparkSession
-    path = path or scratch_dir(spark)
+    if path is None:
+        path = scratch_dir(spark)
+        if _open:
+            _open[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
