@@ -10,9 +10,9 @@ from contextlib import contextmanager, suppress
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import discard, release, scratch_dir, stored
+from ..scratch import discard, release, scratch_dir, stored, temporary
 
-__all__ = ["batches_of", "discard", "give_back", "release", "scratch_dir", "spare", "stored", "table"]
+__all__ = ["batches_of", "discard", "give_back", "release", "scratch_dir", "spare", "stored", "table", "temporary"]
 
 
 def spare(taken: Iterable[str], *names: str) -> list[str]:

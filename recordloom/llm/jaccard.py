@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import batches_of, discard, give_back, release, scratch_dir, stored
+from .common import batches_of, discard, give_back, release, scratch_dir, stored, temporary
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -560,12 +560,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
-    with batches_of(docs.sparkSession, BATCH):
-        return _near_duplicates(docs, percent)
+    spark = docs.sparkSession
+    with batches_of(spark, BATCH), temporary(spark):
+        return stored(_near_duplicates(docs, percent), scratch_dir(spark))
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
-    """All steps in Python are run here, the plan returned has none."""
     spark = docs.sparkSession
     told = stored(described(docs, percent))
     rows = told.where("n is not null").select("doc_id", "n", "node", "point", "alt")

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare, stored
+from .common import scratch_dir, spare, stored, temporary
 
 BUCKETS = 4096
 #: so many leaves at most reach the driver
@@ -106,8 +106,12 @@ def spread(leaves: DataFrame, budget: float, max_epochs: int, weights: list[Mapp
 
 def mix(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 4, seed: int = 7, domains: Mapping = DOMAIN_WEIGHTS, languages: Mapping = LANGUAGE_WEIGHTS, sources: Mapping | None = None, default_weight: float = 0.05, driver_leaves: int = DRIVER_LEAVES) -> DataFrame:
     """Rows of ``docs``, once for each epoch that takes them, with ``epoch`` from 0."""
+    with temporary(docs.sparkSession):
+        return _mix(docs.drop("epoch"), budget_share, max_epochs, seed, [domains, languages, sources or {}], default_weight, driver_leaves)
+
+
+def _mix(docs: DataFrame, budget_share: float, max_epochs: int, seed: int, weights: list[Mapping], default_weight: float, driver_leaves: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.drop("epoch")
     leaf = [domain_of(F.col("source")), F.col("lang"), F.col("source")]
     own = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     keys = ["k0", "k1", "k2"]
@@ -115,7 +119,6 @@ def mix(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 4, seed: i
     leaves = narrow.groupBy(*keys).agg(F.sum("t").alias("t"))
     leaves = stored(leaves)
     count, total = leaves.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0))).head()
-    weights = [domains, languages, sources or {}]
     if count <= driver_leaves:
         held = {(r.k0, r.k1, r.k2): r.t for r in leaves.collect()}
         given = budgets(held, budget_share * total, max_epochs, weights, default_weight)
@@ -146,7 +149,7 @@ def mix(docs: DataFrame, budget_share: float = 1.0, max_epochs: int = 4, seed: i
     limits = on_leaf(ends.select(*keys, "low"), plan).alias("a").join(fits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left")
     limits = limits.select(*(f"a.{k}" for k in keys), F.coalesce("last", F.col("low") - 1).alias("limit"))
     plan = plan.alias("a").join(limits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left").select("a.*", "b.limit")
-    plan = stored(plan)
+    plan = stored(plan, scratch_dir(spark))
     names = spare(docs.columns, "__d", "__l", "__s")
     wanted = spare(docs.columns, "__whole", "__limit", "__dd", "__ll", "__ss")
     side = small(plan.select("whole", "limit", *keys).toDF(*wanted))

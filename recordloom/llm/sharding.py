@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch_dir, stored, temporary
 
 
 def place(units: np.ndarray, residual: np.ndarray) -> np.ndarray:
@@ -55,6 +55,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, share: int = 64, cell_gr
     slot numbers a shard's rows from 0 without a gap: rows are numbered inside ``slot_buckets`` hash
     buckets of the shard and shifted by the rows of the buckets before, so no task sorts a shard.
     """
+    with temporary(docs.sparkSession):
+        return _sharded(docs, n_shards, share, cell_groups, slot_buckets)
+
+
+def _sharded(docs: DataFrame, n_shards: int, share: int, cell_groups: int, slot_buckets: int) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = stored(
@@ -97,7 +102,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, share: int = 64, cell_gr
 
     placed = light.withColumn("cell", F.pmod(F.xxhash64("h", F.lit("cell")), F.lit(cells))).groupBy("cell").applyInPandas(run, "h long, text_crc32 long, size long, part int, shard int")
     placed = stored(placed.unionByName(known))
-    dealt = stored(split.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(slot_buckets))).join(placed, group))
+    dealt = stored(split.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(slot_buckets))).join(placed, group), scratch_dir(spark))
     # n_shards * slot_buckets rows
     before = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = before.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
