@@ -39,7 +39,7 @@ SIGN, MARK, DROPPED, KEPT = 0.5, 1.0, 0.5, 1.5
 TRIPLE = re.compile(r"([a-z])\1\1|([a-z])\2.*?([a-z])\3")
 DOUBLE = re.compile(r"([a-z])\1+")
 EDGE = ".,;:!?\"'`#%&*^~_-=/\\()[]{}<>|…«»“”‘’„"
-MEMO = 100_000
+MEMO = 40_000
 #: texts are handed to Python in batches of so many bytes
 BATCH = "8m"
 #: characters counted at a time
