@@ -15,7 +15,7 @@ _open: list[list[str]] = []
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``stored`` makes inside without a path are removed at the end; what is still to be read gets a path of its own."""
+    """Tables that ``stored`` makes inside without a path are removed at the end, but for those that outlive it: they belong to the context around it, if any."""
     made: list[str] = []
     _open.append(made)
     try:
@@ -40,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/recordloom/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, outlive: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs the tasks that read the table, not those that made it.
@@ -48,8 +48,8 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     if path is None:
         path = scratch_dir(spark)
-        if _open:
-            _open[-1].append(path)
+        for made in _open[:-1][-1:] if outlive else _open[-1:]:
+            made.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

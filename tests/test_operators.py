@@ -301,3 +301,16 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_dir(Cluster)
+
+
+def test_scratch_tables_are_removed(spark):
+    folder = scratch.scratch_dir(spark).rsplit("/", 1)[0]
+    there = lambda: set(tables.files_of(spark, folder, "*"))
+    before = there()
+    with scratch.temporary(spark):
+        with scratch.temporary(spark):
+            scratch.stored(spark.range(3))
+            kept = scratch.stored(spark.range(4), outlive=True)
+        assert len(there() - before) == 1 and kept.count() == 4
+    assert there() == before
+    assert scratch.stored(spark.range(5)).count() == 5
