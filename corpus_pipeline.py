@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import jaccard, linededup, mixing, packing, toxicity
-from recordloom.llm.common import release, stored, table
+from recordloom.llm.common import discard, release, scratch_dir, stored, table, temporary
 from recordloom.llm.labelled import remainder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,8 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage leaves behind is removed once the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = scratch_dir(spark)
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(spark, before)
+        before = path
         release(spark)
     return docs

@@ -562,7 +562,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
     spark = docs.sparkSession
     with batches_of(spark, BATCH), temporary(spark):
-        return stored(_near_duplicates(docs, percent), scratch_dir(spark))
+        return stored(_near_duplicates(docs, percent), outlive=True)
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, spare, stored, temporary
+from .common import spare, stored, temporary
 
 BUCKETS = 4096
 #: so many leaves at most reach the driver
@@ -149,7 +149,7 @@ def _mix(docs: DataFrame, budget_share: float, max_epochs: int, seed: int, weigh
     limits = on_leaf(ends.select(*keys, "low"), plan).alias("a").join(fits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left")
     limits = limits.select(*(f"a.{k}" for k in keys), F.coalesce("last", F.col("low") - 1).alias("limit"))
     plan = plan.alias("a").join(limits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left").select("a.*", "b.limit")
-    plan = stored(plan, scratch_dir(spark))
+    plan = stored(plan, outlive=True)
     names = spare(docs.columns, "__d", "__l", "__s")
     wanted = spare(docs.columns, "__whole", "__limit", "__dd", "__ll", "__ss")
     side = small(plan.select("whole", "limit", *keys).toDF(*wanted))

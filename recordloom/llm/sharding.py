@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, stored, temporary
+from .common import stored, temporary
 
 
 def place(units: np.ndarray, residual: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def _sharded(docs: DataFrame, n_shards: int, share: int, cell_groups: int, slot_
 
     placed = light.withColumn("cell", F.pmod(F.xxhash64("h", F.lit("cell")), F.lit(cells))).groupBy("cell").applyInPandas(run, "h long, text_crc32 long, size long, part int, shard int")
     placed = stored(placed.unionByName(known))
-    dealt = stored(split.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(slot_buckets))).join(placed, group), scratch_dir(spark))
+    dealt = stored(split.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(slot_buckets))).join(placed, group), outlive=True)
     # n_shards * slot_buckets rows
     before = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = before.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
