@@ -205,8 +205,9 @@ def title_keys_pages(spark, d):
 
 
 def _unescape(x: str) -> str:
-    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
+    """The references that the pages hold; HTML takes these old ones without a semicolon too."""
+    for a, b in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{a};?', '{b}', 'g')"
     return x
 
 
