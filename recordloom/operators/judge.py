@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import judgement
 
+#: fixed values: what stands for a judgement that failed
 FAILED = {"decision": "uncertain", "criterion": "NA", "relevance": -1, "evidence": "", "reason": "failed"}
 
 

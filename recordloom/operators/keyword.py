@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 class KeywordError(ValueError):
     pass
@@ -109,7 +111,8 @@ def term_matches(text: Column, term: str, whole_word: bool = False) -> Column:
     if not term:
         return F.lit(False)
     if whole_word:
-        return text.rlike(rf"(?<![a-z0-9])\Q{term}\E(?![a-z0-9])")
+        quoted = term.replace(r"\E", r"\E\\E\Q")
+        return text.rlike(rf"(?<![a-z0-9])\Q{quoted}\E(?![a-z0-9])")
     return text.contains(term)
 
 
@@ -139,7 +142,7 @@ LISTED, EXCLUDED, UNMATCHED, KEPT = "include-papers override", "matched exclude-
 
 def decision(title: Column, text: Column, keywords=None, exclude=None, keep_titles: Sequence[str] = (), whole_word: bool = False) -> Column:
     """struct(keep, reason): titles to keep, then what excludes, then what includes, then the default."""
-    listed = F.lower(F.regexp_replace(title, r"(?U)^\s+|\s+$", "")).isin(*(t.strip().lower() for t in keep_titles)) if keep_titles else F.lit(False)
+    listed = F.lower(X.strip(title)).isin(*(t.strip().lower() for t in keep_titles)) if keep_titles else F.lit(False)
     verdict = lambda keep, reason: F.struct(F.lit(keep).alias("keep"), F.lit(reason).alias("reason"))
     out = F.when(listed, verdict(True, LISTED))
     if exclude:

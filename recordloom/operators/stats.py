@@ -58,6 +58,7 @@ def kappa(table: DataFrame) -> DataFrame:
     error = F.when(F.col("po").isin(0.0, 1.0), 0.0).otherwise(F.sqrt(F.col("po") * (1 - F.col("po")) / (F.col("n") * (1 - F.col("pe")) ** 2)))
     t = t.withColumn("se", F.when(F.col("kappa").isNotNull(), error))
     k = F.col("kappa")
+    # fixed values: words of agreement and their bounds
     word = F.when(k < 0.2, "poor").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").when(k.isNotNull(), "almost perfect")
     return t.withColumns({"low": F.greatest(F.lit(-1.0), k - 1.96 * F.col("se")), "high": F.least(F.lit(1.0), k + 1.96 * F.col("se")), "band": word})
 

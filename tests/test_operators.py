@@ -314,3 +314,18 @@ def test_scratch_tables_are_removed(spark):
         assert len(there() - before) == 1 and kept.count() == 4
     assert there() == before
     assert scratch.stored(spark.range(5)).count() == 5
+
+
+def test_quoted_terms(spark):
+    assert one(spark, r"a\eb.c x", lambda c: keyword.matches(c, r'"a\Eb.c"', True)) is True
+    assert one(spark, r"a\ebxc", lambda c: keyword.matches(c, r'"a\Eb.c"', True)) is False
+
+
+def test_bands_go_to_their_outputs(spark, sf, tmp_path):
+    from recordloom.plans import registry
+
+    group = F.when(F.col("band") <= 2, "screen").when(F.col("band") == 3, "held").when(F.col("band") == 4, "low").otherwise("excluded")
+    dedup.write_routes(registry.queries()["screening_set"](spark, sf).withColumn("band_group", group), f"file://{tmp_path}/bands", "band_group")
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"file://{tmp_path}/bands")
+    want = {r.band_group: r.n for r in registry.queries()["band_groups"](spark, sf).collect()}
+    assert {r.band_group: r.n for r in rows.groupBy("band_group").agg(F.count("*").alias("n")).collect()} == want
