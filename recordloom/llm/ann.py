@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import blocks, k_best, search, usable
+from .vectors import CHUNK, blocks, chunks, k_best, search, usable
 
 SAMPLE, WORDS, WIDTH = 8192, 16, 1
 
@@ -123,7 +123,7 @@ def highest(query_ids: np.ndarray, ids: np.ndarray, estimates: np.ndarray, k: in
         yield np.full(len(near), i), ids[near], row[near].astype(np.float64)
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, rerank: int | None = 64, query_block: int = 256) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 20, rerank: int | None = 64, query_block: int = 256, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score for each row with is_query."""
     rows = usable(table, zero=False)
     asked = rows.where(is_query(F.col("vec_id")))
@@ -140,18 +140,19 @@ def nearest(table: DataFrame, is_query, k: int = 20, rerank: int | None = 64, qu
 
     def unit(left: list, right: list) -> Iterator[tuple[np.ndarray, ...]]:
         by = full(left)
-        parts: dict[int, list] = {}
-        for ids, data in right:
-            parts.setdefault(int.from_bytes(data[:4], "little"), []).append((ids, data[4:]))
-        for d, found in parts.items():
-            if d not in by:
-                continue
-            ids, (query_ids, q) = np.concatenate([i for i, _ in found]), by[d]
-            raw, fit = np.frombuffer(b"".join(x for _, x in found), np.uint8 if d in fitted else np.float64).reshape(len(ids), -1), fitted.get(d)
-            for s in range(0, len(q), query_block):
-                part = slice(s, s + query_block)
-                estimates = np.ascontiguousarray(fit.scan(fit.tables(q[part]), raw).T) if fit else q[part] @ raw.T
-                yield from highest(query_ids[part], ids, estimates, rerank or k)
+        for some in chunks(right, chunk):
+            parts: dict[int, list] = {}
+            for ids, data in some:
+                parts.setdefault(int.from_bytes(data[:4], "little"), []).append((ids, data[4:]))
+            for d, found in parts.items():
+                if d not in by:
+                    continue
+                ids, (query_ids, q) = np.concatenate([i for i, _ in found]), by[d]
+                raw, fit = np.frombuffer(b"".join(x for _, x in found), np.uint8 if d in fitted else np.float64).reshape(len(ids), -1), fitted.get(d)
+                for s in range(0, len(q), query_block):
+                    part = slice(s, s + query_block)
+                    estimates = np.ascontiguousarray(fit.scan(fit.tables(q[part]), raw).T) if fit else q[part] @ raw.T
+                    yield from highest(query_ids[part], ids, estimates, rerank or k)
 
     best = search(queries, candidates, unit, rerank or k, "double")
     if rerank is None:

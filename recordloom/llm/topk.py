@@ -1,6 +1,6 @@
 """Exact top-k inner products by aggregation without random access.
 
-Vectors become integers, floor(scale * x).  The candidates of a cell are held as one list for each
+Vectors become integers, floor(scale * x).  The candidates of a cell, ``chunk`` at a time, are held as one list for each
 dimension, sorted by the component.  For a query, a list is read from the end where the product with
 the query's component is highest, all lists to the same depth and each entry once.  What is read is added to a candidate's
 lower bound (lists that have not shown it count with their least product); its upper bound has the product at the list's
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import blocks, k_best, search, usable
+from .vectors import CHUNK, blocks, chunks, k_best, search, usable
 
 #: shares of the lists read after each stretch
 DEPTHS = (1 / 16, 1 / 4, 1 / 2, 1.0)
@@ -129,7 +129,7 @@ def unpacked(blocks_: list[tuple[np.ndarray, bytes]]) -> dict[int, tuple[np.ndar
     return {d: tuple(map(np.concatenate, zip(*parts, strict=True))) for d, parts in by.items()}
 
 
-def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_block: int = 256) -> DataFrame:
+def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_block: int = 256, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with is_query, the k highest integer inner products."""
     rows = usable(table)
     queries = blocks(rows.where(is_query(F.col("vec_id"))), quantised(scale))
@@ -137,9 +137,7 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_bl
 
     def unit(left: list, right: list) -> Iterator[tuple[np.ndarray, ...]]:
         asked = unpacked(left)
-        for d, (ids, x) in unpacked(right).items():
-            if d not in asked:
-                continue
+        for d, ids, x in ((d, *found) for some in chunks(right, chunk) for d, found in unpacked(some).items() if d in asked):
             lists, (query_ids, q) = SortedLists(ids, x), asked[d]
             for s in range(0, len(q), query_block):
                 part = slice(s, s + query_block)

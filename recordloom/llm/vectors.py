@@ -19,6 +19,8 @@ from .common import give_back, stored
 BLOCK = "block long, ids binary, data binary"
 FOUND = "query_id long, vec_id long, score {kind}"
 CELL = 8 << 20
+#: candidates that are looked at together in a cell
+CHUNK = 16_384
 
 
 def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", zero: bool = True) -> DataFrame:
@@ -84,6 +86,18 @@ def search(queries: DataFrame, candidates: DataFrame, unit: Callable, k: int, ki
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def chunks(blocks_: list[tuple[np.ndarray, bytes]], rows: int) -> Iterator[list[tuple[np.ndarray, bytes]]]:
+    """Blocks in turn, up to ``rows`` vectors at a time (a block at least), so that what a task computes on is bounded."""
+    held: list = []
+    for block in blocks_:
+        if held and sum(len(ids) for ids, _ in held) + len(block[0]) > rows:
+            yield held
+            held = []
+        held.append(block)
+    if held:
+        yield held
+
+
 def k_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(scores) > k:

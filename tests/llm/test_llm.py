@@ -180,7 +180,7 @@ def brute(rows, f, zero):
 
 def test_topk_exact(vectors):
     got = {}
-    for r in topk.top_k(vectors, lambda i: i % 20 == 0, query_block=16).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(vectors, lambda i: i % 20 == 0, query_block=16, chunk=100).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute(vectors.collect(), lambda v: np.floor(64 * v), True)
 
