@@ -39,7 +39,7 @@ SIGN, MARK, DROPPED, KEPT = 0.5, 1.0, 0.5, 1.5
 TRIPLE = re.compile(r"([a-z])\1\1|([a-z])\2.*?([a-z])\3")
 DOUBLE = re.compile(r"([a-z])\1+")
 EDGE = ".,;:!?\"'`#%&*^~_-=/\\()[]{}<>|…«»“”‘’„"
-MEMO = 40_000
+MEMO = 100_000
 #: texts are handed to Python in batches of so many bytes
 BATCH = "8m"
 #: characters counted at a time
@@ -151,13 +151,12 @@ class Restorer:
             core = w.rstrip(EDGE).lstrip(EDGE.replace("(", "").replace("{", "").replace("<", "").replace("!", "").replace("|", ""))
             core = core.rstrip("$@+") if core[-2:-1] == core[-1:] else core
             plain = ""
-        letters = sum("a" <= x <= "z" for x in core)
         if plain:
-            if TRIPLE.search(core) or self.single and DOUBLE.search(core) and DOUBLE.sub(r"\1", core) in self.single:
+            if DOUBLE.search(core) and (TRIPLE.search(core) or self.single and DOUBLE.sub(r"\1", core) in self.single):
                 out = decode(plain, self.log)
             else:
                 out = plain
-        elif letters and 2 * letters >= sum(x in LEET for x in core) / 2:
+        elif (letters := sum("a" <= x <= "z" for x in core)) and 2 * letters >= sum(x in LEET for x in core) / 2:
             out = decode(core, self.log)
         else:
             out = core or w
@@ -247,22 +246,15 @@ class Scorer:
     def __init__(self, restorer: Restorer, bias: float, weights: dict[str, float]):
         self.restorer, self.bias, self.weights = restorer, bias, weights
         self.single = {DOUBLE.sub(r"\1", s): w for s, w in weights.items() if not s.endswith("*")}
-        self.memo: dict[str, float] = {}
+        self.starts = {s[:3] for s in weights}  # entries have three letters at least
 
     def weight(self, word: str) -> float:
         """The highest weight of a word and its stems; doubled letters count as one for words."""
-        w = max(self.single.get(DOUBLE.sub(r"\1", word), 0.0), *(self.weights.get(s, 0.0) for s in (word, *stems(word))))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = w
-        return w
+        w = max([self.weights.get(s, 0.0) for s in (word, *stems(word))]) if word[:3] in self.starts else 0.0
+        return max(w, self.single.get(DOUBLE.sub(r"\1", word) if DOUBLE.search(word) else word, 0.0))
 
     def __call__(self, text: str | None) -> float:
-        get, weight = self.memo.get, self.weight
-        s = min(self.bias, -0.5)
-        for word in set(self.restorer.words(text)):
-            w = get(word)
-            s += weight(word) if w is None else w
+        s = min(self.bias, -0.5) + sum(map(self.weight, sorted(set(self.restorer.words(text)))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
