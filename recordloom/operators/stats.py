@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .ranks import numbered
 
 #: groups whose counts are broadcast
 GROUPS = 100_000
+#: the shares of a group that the bracket of its median has on either side
+BRACKET = 0.01
 
 
 def summary(rows: DataFrame, by: str, value: Column) -> DataFrame:
     """Mean, median, extremes and sample deviation (null for a single row).
 
-    The median is exact: values are numbered in ranges, and the middle one or two of each group are read; no buffer holds a group.
+    The median is exact, and no buffer holds a group: approximate quantiles bracket it, values below the bracket are counted, and only those
+    inside are put in order, in ranges.  A group whose middle is not in its bracket (no bound is taken on trust) is put in order whole.
     """
     fs = {"mean": F.avg, "low": F.min, "high": F.max, "deviation": F.stddev_samp}
-    base = rows.select(F.col(by), value.alias("v")).groupBy(by).agg(F.count("v").alias("n"), *(f("v").alias(n) for n, f in fs.items()))
-    placed = numbered(rows.select(F.col(by).alias("g"), value.alias("v")).where("v is not null"), [F.col("g"), F.col("v")], "p")
-    firsts = placed.groupBy("g").agg(F.min("p").alias("start"), F.count("*").alias("m")).withColumnRenamed("g", "h")
-    side = F.broadcast(firsts) if firsts.count() <= GROUPS else firsts
-    at = F.col("p") - F.col("start")
-    middle = placed.join(side, F.col("g").eqNullSafe(F.col("h"))).where((at == F.floor((F.col("m") - 1) / 2)) | (at == F.floor(F.col("m") / 2)))
-    median = middle.groupBy(F.col("g").alias("h")).agg(F.avg("v").alias("median"))
-    return base.join(median, F.col(by).eqNullSafe(F.col("h")), "left").select(by, "n", "mean", "median", "low", "high", "deviation")
+    pairs = rows.select(F.col(by).alias("g"), value.alias("v"))
+    around = F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], int(4 / BRACKET))
+    base = stored(pairs.groupBy(F.col("g").alias("h")).agg(F.count("v").alias("n"), *(f("v").alias(n) for n, f in fs.items()), around.alias("q")))
+    side = F.broadcast(base) if base.count() <= GROUPS else base
+    joined = pairs.where("v is not null").join(side.select("h", "n", F.col("q")[0].alias("q0"), F.col("q")[1].alias("q1")), F.col("g").eqNullSafe(F.col("h")))
+    counts = joined.groupBy("h", "n").agg(F.count_if(F.col("v") < F.col("q0")).alias("below"), F.count_if(F.col("v") <= F.col("q1")).alias("upto"))
+    first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    counts = stored(counts.select("h", "below", ((F.col("below") <= first) & (second < F.col("upto"))).alias("good")))
+    known = F.broadcast(counts.withColumnRenamed("h", "k")) if counts.count() <= GROUPS else counts.withColumnRenamed("h", "k")
+    inside = joined.join(known, F.col("h").eqNullSafe(F.col("k"))).where(~F.col("good") | F.col("v").between(F.col("q0"), F.col("q1")))
+    placed = numbered(inside.select("g", "v", "n", F.when(F.col("good"), F.col("below")).otherwise(0).alias("below")), [F.col("g"), F.col("v")], "p")
+    starts = placed.groupBy("g").agg(F.min("p").alias("start")).withColumnRenamed("g", "k")
+    starts = F.broadcast(starts) if counts.count() <= GROUPS else starts
+    at = F.col("p") - F.col("start") + F.col("below")
+    middle = placed.join(starts, F.col("g").eqNullSafe(F.col("k"))).where((at == first) | (at == second))
+    median = middle.groupBy(F.col("g").alias("k")).agg(F.avg("v").alias("median"))
+    return base.join(median, F.col("h").eqNullSafe(F.col("k")), "left").select(F.col("h").alias(by), "n", "mean", "median", "low", "high", "deviation")
 
 
 def coverage(condition: Column) -> Column:

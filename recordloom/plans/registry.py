@@ -100,9 +100,8 @@ sql("dedup_keep_longest", f"WITH {LONGEST} SELECT doc_id, title, doi, place FROM
 
 def banded(spark, d) -> DataFrame:
     """Bands are taken where a record is read, so what travels with it is short; the abstract is cut after it was banded whole."""
-    c = rules.scored(F.col("title"), F.col("abstract"), RULES)
-    rows = records(spark, d).withColumns(c | {"cut": F.substring("abstract", 1, 2000), "has_abstract": F.length("abstract") > 0})
-    kept = dedup.keep_longest(rows, "doc_id", F.col("doi"), F.col("nt"), F.col("abstract"), keep=["doc_id", "title", "doi", "cut", "has_abstract", *c])
+    rows = rules.with_bands(records(spark, d), F.col("title"), F.col("abstract"), RULES).withColumns({"cut": F.substring("abstract", 1, 2000), "has_abstract": F.length("abstract") > 0})
+    kept = dedup.keep_longest(rows, "doc_id", F.col("doi"), F.col("nt"), F.col("abstract"), keep=["doc_id", "title", "doi", "cut", "has_abstract", "title_facets", "all_facets", "score", "band", "why"])
     return kept.withColumnRenamed("cut", "abstract")
 
 
@@ -173,8 +172,9 @@ sql("band_groups", sql_bands() + " SELECT CASE WHEN band <= 2 THEN 'screen' WHEN
 
 @query
 def facet_setops(spark, d):
-    x, y = rules.facet_names(F.lower(title()), RULES), rules.facet_names(F.lower("text"), RULES)
-    return t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_union(x, y)), "+").alias("either"), F.array_join(F.array_sort(F.array_except(y, x)), "+").alias("only_ext"), long(F.size(F.array_union(x, y))).alias("n"))
+    found = t(spark, d, "documents").select("doc_id", rules.facet_names(F.lower(title()), RULES).alias("x"), rules.facet_names(F.lower("text"), RULES).alias("y"))
+    either = F.array_union("x", "y")
+    return found.select("doc_id", F.array_join(F.array_sort(either), "+").alias("either"), F.array_join(F.array_sort(F.array_except("y", "x")), "+").alias("only_ext"), long(F.size(either)).alias("n"))
 
 
 def _facet_sql() -> str:

@@ -236,6 +236,7 @@ def test_numbered(spark):
 def test_median_is_exact(spark):
     rng = random.Random(7)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random()])) for _ in range(301)] + [("lone", 2.0), ("empty", None)]
+    rows += [("ties", float(rng.randrange(3))) for _ in range(4000)] + [("long", rng.gauss(0, 1)) for _ in range(5000)]
     got = {r.k: r for r in stats.summary(spark.createDataFrame(rows, "k string, v double"), "k", F.col("v")).collect()}
     for k in {k for k, _ in rows}:
         v = sorted(v for g, v in rows if g == k and v is not None)
