@@ -38,24 +38,34 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes, equal to those of the tokenizer file.
 
     The same vocabulary as ranks is several times faster.  Texts that name a special token go through
-    the tokenizer file itself.
+    the tokenizer file itself, which is only read when one comes.
     """
 
-    def __init__(self, vocabulary: str, ranks: str, pattern: str):
+    def __init__(self, vocabulary: str, ranks: str, pattern: str, special: list[str] | None = None):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()) or r"(?!)").search
+        self.vocabulary, self.slow = vocabulary, None
+        self.special = re.compile("|".join(map(re.escape, special_tokens(vocabulary) if special is None else special)) or r"(?!)").search
 
     def __call__(self, text: str) -> bytes:
         if self.special(text):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.vocabulary)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
+def special_tokens(vocabulary: str) -> list[str]:
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(vocabulary).get_added_tokens_decoder().values()]
+
+
 def default_files() -> tuple[str, str, str]:
     import public_tokenizers as P
 
@@ -99,9 +109,10 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece; with_ids adds its ids."""
     files, id_type = files or default_files(), docs.schema["doc_id"].dataType.simpleString()
+    special = special_tokens(files[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(*files)
+        encode = Encoder(*files, special)
         for batch in batches:
             out: list[tuple] = []
             for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
@@ -112,6 +123,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str,
             frame = pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
             frame["doc_id"] = frame["doc_id"].astype(batch["doc_id"].dtype)
             yield frame
+        del encode
         give_back()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
