@@ -8,8 +8,8 @@ filling of each node top-down under the capacities summed bottom-up.
 
 Each leaf's budget is spent as whole epochs plus a token-prefix of the next: rows ordered by a seeded
 hash of doc_id and text, as many whole rows as fit.  The prefix is a threshold on that hash: token sums of
-``BUCKETS`` hash ranges for each leaf find the range where the budget ends, sums of as many ranges within it narrow it again, and
-only the few rows left there are ordered, so a leaf that
+256 hash ranges for each leaf find the range where the budget ends, sums of 256 ranges within it narrow it, once more for one in
+16 million, and only the rows left there are ordered, so a leaf that
 holds a third of all rows is never sorted in a task.  Tokens are counted once; the final pass compares hashes.
 
 Up to ``DRIVER_LEAVES`` leaves are dealt on the driver, more by the same rule as rounds of sums over a table of leaves.
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import spare, stored, temporary
 
-BUCKETS = 4096
+#: where the bits begin that name a range, 8 of 63 at a time
+SHIFTS = (55, 47, 39)
 #: so many leaves at most reach the driver
 DRIVER_LEAVES = 100_000
 
@@ -133,18 +134,18 @@ def _mix(docs: DataFrame, budget_share: float, max_epochs: int, seed: int, weigh
         same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
         return left.alias("a").join(small(right).alias("b"), same).select("a.*", *(f"b.{c}" for c in right.columns if c not in keys))
 
-    # place: 63 bits of a hash of the row and its epoch; 12 of them name a range, the next 12 a range within it
+    # place: 63 bits of a hash of the row and its epoch; 8 of them name a range, the next 8 a range within it
     place = lambda h, whole: F.shiftrightunsigned(F.xxhash64(h, F.lit(seed), whole), 1)
     rows = on_leaf(narrow, plan.where("rest > 0")).withColumn("o", place(F.col("h"), F.col("whole")))
     ends = plan.where("rest > 0").select(*keys, F.lit(0).cast("long").alias("low"), F.col("rest").alias("left"))
-    for shift in (51, 39):
-        inside = on_leaf(rows, ends).where(F.shiftright("o", shift + 12) == F.shiftright("low", shift + 12)).withColumn("range", F.shiftright("o", shift))
+    for shift in SHIFTS:
+        inside = on_leaf(rows, ends).where(F.shiftright("o", shift + 8) == F.shiftright("low", shift + 8)).withColumn("range", F.shiftright("o", shift))
         sums = inside.groupBy(*keys, "left", "range").agg(F.sum("t").alias("t"))
-        # a window of BUCKETS rows for each leaf
+        # a window of 256 rows for each leaf
         upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("range"))
         over = sums.withColumn("u", upto).where("u > left").groupBy(*keys).agg(F.min(F.struct("range", (F.col("left") - F.col("u") + F.col("t")).alias("left"))).alias("m"))
         ends = stored(over.select(*keys, F.shiftleft(F.col("m.range"), shift).alias("low"), F.col("m.left").alias("left")))
-    units = on_leaf(rows, ends).where(F.shiftright("o", 39) == F.shiftright("low", 39)).groupBy(*keys, "low", "left", "o").agg(F.sum("t").alias("t"))
+    units = on_leaf(rows, ends).where(F.shiftright("o", SHIFTS[-1]) == F.shiftright("low", SHIFTS[-1])).groupBy(*keys, "low", "left", "o").agg(F.sum("t").alias("t"))
     fits = units.withColumn("u", F.sum("t").over(Window.partitionBy(*keys).orderBy("o"))).where("u <= left").groupBy(*keys).agg(F.max("o").alias("last"))
     limits = on_leaf(ends.select(*keys, "low"), plan).alias("a").join(fits.alias("b"), reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left")
     limits = limits.select(*(f"a.{k}" for k in keys), F.coalesce("last", F.col("low") - 1).alias("limit"))
