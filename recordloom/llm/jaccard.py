@@ -7,7 +7,7 @@ Blocks.  Sets of n shingles that reach the threshold share one of the first n -
 shingles under any common order, and of the smaller set it is one of the first n - ceil(6/7 n) + 1, so
 a shingle that no node has so early makes no block.  The order is by hash, with common shingles last, so that a passage that
 many documents share makes no block unless a document is little else.  A shingle in two nodes' prefixes is
-a block; of blocks with the same nodes one is kept, and a large block is cut into pairs of chunks.
+a block; of blocks with the same nodes one is kept, and a large block is cut into chunks.
 
 Most shingles stand in one node, so postings travel packed: a task sends each range of keys as one
 binary row (sorted keys as differences, nodes, sizes), and what receives a range keeps the keys of two nodes or more.
@@ -23,10 +23,12 @@ most the same of their upper corners; boxes and points below the needed overlap
 of unlike sizes.  What survives is verified on the texts.
 
 Blocks with one least node meet in a cell, so that a point is sent once for all blocks of a group of copies.
+The chunks of large blocks are dealt by component, and pairs of chunks of one component never meet, so the rows of a group of
+near copies grow with its size, not with its square.
 
 Rounds.  Links within a component need not be known for its class, so pairs are never expanded inside a
 group of near copies: first each node is compared with the likeliest leader (least node) of its blocks, then in ``FORESTS``
-rounds with a few nodes of other components that the tree joins give, then all surviving pairs between
+rounds, and more while they join much, with a few nodes of other components that the tree joins give, then all surviving pairs between
 different components are compared (of blocks of one leaf, those that the first of these rounds put off).
 After that no link between two components is missing.
 
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -54,6 +56,8 @@ WORDS, PERCENT = 5, 75
 #: a point has 2**6 to 2**14 groups, and counts up to three
 LEVELS, MOST = (6, 14), 3
 FORESTS, TRIES, CHUNK = 2, 12, 2048
+#: forests go on, up to so many, while one gives more links than that and than a thousandth of the nodes in blocks
+MORE_FORESTS, FEW = 12, 64
 #: texts are handed to Python in batches of so many bytes
 BATCH = "8m"
 #: rows of a side that is broadcast; beyond that it is joined by key
@@ -499,10 +503,41 @@ def block_pairs(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> Data
     return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "kind", "node").mapInPandas(run, "a long, b long, most int")
 
 
-def cells_of(blocks: DataFrame, labelled: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+def large_cells(between: DataFrame, mode: str, turn: int) -> DataFrame:
+    """cell, i, j, node, comp of blocks above a chunk, from rows (key, m, node, comp).
+
+    Such blocks with one most frequent component are made one, unless they have so little in common that this takes more rows.  For forests
+    a block's nodes are dealt to chunks by ``turn``, and each chunk is a cell.  For all pairs a component of half a chunk or more has chunks of
+    its own, the others share chunks, and two chunks are a cell unless they are of one component.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK)
+    chief = between.groupBy("key", "m", "comp").agg(F.count("*").alias("n")).groupBy("key", "m").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("chief"))
+    between = between.drop("m").join(F.broadcast(chief), "key")
+    alone = chief.groupBy("chief").agg(F.sum(F.col("m") * chunks("m")).alias("alone"))
+    merged = between.select("chief", "node").distinct().groupBy("chief").agg(F.count("*").alias("u")).join(alone, "chief").select("chief", "u", (F.col("u") * chunks("u") <= F.col("alone")).alias("one"))
+    of = lambda one, else_: F.when(F.col("one"), F.col(one)).otherwise(F.col(else_))
+    own = between.join(F.broadcast(merged), "chief").select(of("chief", "key").alias("cell"), of("u", "m").alias("m"), "node", "comp").distinct()
+    if mode == "forest":
+        c = F.pmod(F.xxhash64("node", F.lit(turn)), chunks("m")).cast("int")
+        return own.select("cell", c.alias("i"), c.alias("j"), "node", "comp")
+    each = own.groupBy("cell", "comp").agg(F.count("*").alias("n"))
+    held = each.groupBy("cell", F.when(2 * F.col("n") >= CHUNK, F.col("comp")).alias("only")).agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("k"))
+    of_cell = Window.partitionBy("cell")
+    held = held.select("cell", "only", "k", (F.sum("k").over(of_cell.orderBy("only")) - F.col("k")).cast("int").alias("s"), F.sum("k").over(of_cell).cast("int").alias("every"))
+    mixed_ = held.where("only is null").select("cell", "k", "s", "every", F.lit(False).alias("pure"))
+    pure = held.where("only is not null").select("cell", F.col("only").alias("comp"), "k", "s", "every", F.lit(True).alias("pure"))
+    dealt = own.select("cell", "node", "comp").join(F.broadcast(pure), ["cell", "comp"], "left")
+    rest = dealt.where("pure is null").select("cell", "node", "comp").join(F.broadcast(mixed_), "cell")
+    dealt = dealt.where("pure").unionByName(rest).withColumn("c", (F.col("s") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int"))
+    # the pairs within a shared chunk are those of any cell it is in
+    met = F.filter(F.sequence(F.lit(0), F.col("every") - 1), lambda o: F.when(F.col("pure"), (o < F.col("s")) | (o >= F.col("s") + F.col("k"))).otherwise((o != F.col("c")) | (F.col("every") == 1)))
+    return dealt.withColumn("o", F.explode(met)).select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "comp")
+
+
+def cells_of(blocks: DataFrame, labelled: DataFrame, known: DataFrame, large: str | None = None, turn: int = 0) -> DataFrame:
     """Rows of cells for block_pairs, from rows (key, lo, m, g, node, comp) and points (node, n, point); of blocks between components only.
 
-    A block of a chunk at most is in the cell of its least node; a larger one is cut into pairs of chunks, a cell each.
+    A block of a chunk at most is in the cell of its least node; larger ones are cut as ``large_cells`` does for the mode ``large``, or left out.
     """
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     labelled = labelled.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int"))
@@ -512,9 +547,8 @@ def cells_of(blocks: DataFrame, labelled: DataFrame, known: DataFrame, small: bo
     between = labelled.join(apart, ["key", "c"], "left_semi")
     own = between.where(F.col("m") <= CHUNK).select(F.col("lo").alias("cell"), (-1 - F.col("g")).alias("i"), F.lit(0).alias("j"), "node", "comp").distinct()
     lists = blocks.where(F.col("m") <= CHUNK).join(apart.select("key").distinct(), "key", "left_semi").select(F.col("lo").alias("cell"), (-1 - F.col("g")).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("kind"), "key", "nodes")
-    if not small:
-        cut = between.where(F.col("m") > CHUNK).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        own = own.unionByName(cut.select(F.col("key").alias("cell"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "comp"))
+    if large:
+        own = own.unionByName(large_cells(between.where(F.col("m") > CHUNK).select("key", "m", "node", "comp"), large, turn))
     # zeros for what a kind has not: pandas has no null integers
     zero = F.lit(0).cast("long")
     lists = lists.withColumns({"node": zero, "comp": zero, "n": zero})
@@ -591,12 +625,12 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     discard(spark, parts_path)
     rows_of = blocks.select("key", "lo", "m", "g", F.explode("nodes").alias("node"))
     in_blocks = rows_of.select("node").distinct()
-    side = F.broadcast(in_blocks) if in_blocks.count() <= BROADCAST_ROWS else in_blocks
+    side = F.broadcast(in_blocks) if (many := in_blocks.count()) <= BROADCAST_ROWS else in_blocks
     known = stored(rows.join(side, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")), known_path)
     release(spark)
 
     # round 1: each node and the likeliest leader of its blocks (of blocks above a chunk, the least)
-    first = block_pairs(cells_of(blocks, rows_of.withColumn("comp", F.col("node")), known, True), percent, "leaders")
+    first = block_pairs(cells_of(blocks, rows_of.withColumn("comp", F.col("node")), known), percent, "leaders")
     far = rows_of.where(F.col("m") > CHUNK).where("node <> lo").groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a")).select("a", "b", F.lit(0).alias("most"))
     first = first.unionByName(far).groupBy("b").agg(F.min_by("a", F.struct(-F.col("most"), F.col("a"))).alias("a"))
     links = verified(docs, nodes, first, percent)
@@ -604,13 +638,15 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     release(spark)
 
     left_over = None
-    for turn in range(FORESTS + 1):
-        last = turn == FORESTS
+    any_large = not blocks.where(F.col("m") > CHUNK).isEmpty()
+    last = False
+    for turn in range(MORE_FORESTS + 1):
+        mode = "all" if last else "forest"
         # small blocks give all their pairs in the first turn
         mine, rows_now = (x if not turn else x.where(F.col("m") > LEAF) for x in (blocks, rows_of))
         labelled_path, pairs_path = scratch_dir(spark), scratch_dir(spark)
         labelled = stored(rows_now.join(found, "node", "left").select("key", "lo", "m", "g", "node", F.coalesce("comp", "node").alias("comp")), labelled_path)
-        held = stored(block_pairs(cells_of(mine, labelled, known, False), percent, "all" if last else "forest", turn).select("a", "b").distinct(), pairs_path)
+        held = stored(block_pairs(cells_of(mine, labelled, known, mode if any_large else None, turn), percent, mode, turn).select("a", "b").distinct(), pairs_path)
         discard(spark, labelled_path)
         release(spark)
         if last:
@@ -625,10 +661,13 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
         more = verified(docs, nodes, pairs, percent)
         if turn:
             discard(spark, pairs_path)
-        if not more.isEmpty():
+        if joined := more.count():
             # components are contracted to stars, so only they and the new links are walked
             found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
         release(spark)
+        if last:
+            break
+        last = turn + 1 >= FORESTS and (joined <= max(FEW, many // 1000) or turn + 1 == MORE_FORESTS)
     for path in (blocks_path, known_path):
         discard(spark, path)
 

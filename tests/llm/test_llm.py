@@ -66,6 +66,49 @@ def test_jaccard_brute_force(spark):
     assert {r.doc_id for r in jaccard.one_of_each(df).select("doc_id").collect()} == set(want.values())
 
 
+def near_copies(n, edits, rng):
+    """Copies of 100 words, each with so many others at random places."""
+    out = []
+    for k in edits[:n]:
+        words = [f"w{i}" for i in range(100)]
+        for at in rng.sample(range(100), k):
+            words[at] = f"e{rng.randrange(10**7)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_jaccard_large_blocks_brute_force(spark, monkeypatch):
+    """Blocks of many chunks lose no link, whichever component its ends are in and however many rounds of forests there are."""
+    monkeypatch.setattr(jaccard, "CHUNK", 12)
+    rng = random.Random(7)
+    texts = near_copies(160, [rng.choice([0, 1, 2, 3, 4]) for _ in range(160)], rng)
+    other = " ".join(f"v{i}" for i in range(30))
+    texts += [" ".join(t.split()[:70]) + " " + other for t in near_copies(60, [rng.choice([0, 1, 2]) for _ in range(60)], rng)]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (64, 0):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == brute_classes(rows)
+
+
+def test_jaccard_rows_of_a_group_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    sent, plain = [], jaccard.block_pairs
+
+    def counted(rows, percent, mode, turn=0):
+        sent[-1] += rows.count()
+        return plain(rows, percent, mode, turn)
+
+    monkeypatch.setattr(jaccard, "block_pairs", counted)
+    for n in (100, 400):
+        rng = random.Random(n)
+        texts = near_copies(n, [5] * 12 + [1] * n, rng)
+        sent.append(0)
+        classes = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).groupBy("component_id").count()
+        assert [r["count"] for r in classes.collect() if r["count"] > 1] == [n - 12]
+    assert 0 < sent[1] < 6 * sent[0]
+
+
 def test_tree_prunes_nothing_that_links():
     rng = np.random.default_rng(0)
     sets = []
