@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by inner product: anisotropic quantisation, table scans, exact reranking.
+"""Nearest neighbours by inner product: anisotropic quantisation, table scans, exact reranking.
 
 Codebooks have 16 words for each dimension, so a code is four bits.  They are fitted to make
 small not the plain residual but a score-aware loss: the part of the residual that is parallel to the
@@ -6,14 +6,16 @@ vector counts ``eta`` times, because it is what moves the highest inner products
 by coordinate descent under the same loss.  The fit takes at most ``SAMPLE`` rows (those with the
 smallest hashes of their id); every row is coded.
 
-Only codes meet the queries: their tables (two dimensions at a time, 256 sums) are looked up for all codes of a cell, and each
-query's ``rerank`` highest estimates of all cells are joined with the original vectors and scored exactly, so the final order is
-exact among them.  ``rerank=None`` scores every row exactly instead.
+A row travels with its codes, with the length of the residual that they leave, and with its original vector.  In a cell, the queries'
+tables (two dimensions at a time, 256 sums) are looked up for all codes; the inner product can differ from this estimate by the query's length times the
+residual's at most.  Each query's ``rerank`` highest estimates are scored exactly first; then every row is that the bound doesn't hold below the k-th best of
+these.  So no row of the k nearest is missed, whatever the rows are, and how many are scored hangs on the data alone: near copies and few codes for
+uneven components cost time, not recall.  ``rerank=None`` makes no codes: plain products are the estimates.
 
 Cases: vectors null, empty, zero or with null or non-finite components take no part, nor do rows
 without an id; a row is not its own candidate, nor are rows of the same id; rows that share an id are queried each and ranked together; ties go to the smaller id,
 in estimates too; with fewer than k candidates all are returned; vectors of unlike lengths never meet; a length that the sample doesn't hold is
-not coded but sent as it is; an empty table gives an empty result.
+not coded; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import CHUNK, blocks, chunks, k_best, search, usable
@@ -84,11 +86,13 @@ class Quantiser:
                 self.words[s, w] = np.linalg.solve(left, right)
             along = rest + ((own - self.words[s][codes[:, s]]) * own).sum(1)
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        """Codes, two in a byte."""
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, two in a byte, and how far an estimate may be off for a query of length 1 (rounding in single precision included)."""
         codes = self.encode(x)
+        near = self.words[np.arange(self.parts), codes].reshape(len(x), -1)[:, : self.d]
+        off = length(x - near) * (1 + 1e-6) + length(near) * (self.d + 4) * 2.0**-23
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-        return codes[:, 0::2] << 4 | codes[:, 1::2]
+        return codes[:, 0::2] << 4 | codes[:, 1::2], off
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """The products of the words: bytes of a code x 256 x queries."""
@@ -105,60 +109,95 @@ class Quantiser:
         return total
 
 
+def length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(1))
+
+
+def exact_bytes(x: np.ndarray) -> bytes:
+    """A byte that tells the kind, and the vectors in single precision if that holds them."""
+    single = x.astype(np.float32)
+    return b"\0" + single.tobytes() if (single == x).all() else b"\1" + x.tobytes()
+
+
+def exact(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64 if data[0] else np.float32, offset=1).reshape(rows, -1).astype(np.float64)
+
+
 def full(blocks_: list[tuple[np.ndarray, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """ids and vectors by their length."""
     by: dict[int, list] = {}
     for ids, data in blocks_:
-        x = np.frombuffer(data).reshape(len(ids), -1)
+        x = exact(data, len(ids))
         by.setdefault(x.shape[1], []).append((ids, x))
     return {d: tuple(map(np.concatenate, zip(*parts, strict=True))) for d, parts in by.items()}
 
 
-def highest(query_ids: np.ndarray, ids: np.ndarray, estimates: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The k highest of each query (a row of estimates) but its own id."""
-    for i, row in zip(query_ids, estimates, strict=True):
-        row = np.where(ids == i, -np.inf, row)
-        near = k_best(row, ids, k)
-        near = near[np.isfinite(row[near])]
-        yield np.full(len(near), i), ids[near], row[near].astype(np.float64)
+def products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, size: int = 1 << 18) -> np.ndarray:
+    """Inner products of columns i of q with columns j of x, added dimension by dimension, so that equal vectors have equal products."""
+    out = np.zeros(len(i))
+    for a in range(0, len(i), size):
+        part = slice(a, a + size)
+        for s in range(len(q)):
+            out[part] += q[s][i[part]] * x[s][j[part]]
+    return out
+
+
+def highest(query_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, ids: np.ndarray, x: np.ndarray, estimates: np.ndarray, off: np.ndarray, k: int, first: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The k highest of each query (a row of estimates) but its own id, if they reach its bar, which is raised to the k-th of them."""
+    upper = estimates + length(q)[:, None] * off
+    upper[~np.isfinite(upper)] = np.inf  # numbers so large that nothing is known
+    upper[ids == query_ids[:, None]] = -np.inf
+    n, q, x = len(ids), np.ascontiguousarray(q.T), np.ascontiguousarray(x.T)
+    if n > first >= k:
+        top = np.argpartition(np.where(np.isfinite(upper), estimates, upper), n - first, axis=1)[:, n - first :]
+        sums = products(q, x, np.repeat(np.arange(len(top)), first), top.ravel()).reshape(top.shape)
+        sums[np.isneginf(np.take_along_axis(upper, top, 1)) | np.isnan(sums)] = -np.inf
+        np.maximum(bar, np.partition(sums, first - k, axis=1)[:, first - k], out=bar)
+    i, j = np.nonzero((upper >= bar[:, None]) & ~np.isneginf(upper))
+    sums, at = products(q, x, i, j), np.searchsorted(i, np.arange(len(bar) + 1))
+    for m, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        scores, near = sums[a:b], j[a:b]
+        best = k_best(np.where(np.isnan(scores), np.inf, scores), ids[near], k)
+        if len(best) == k and scores[best[-1]] > bar[m]:
+            bar[m] = scores[best[-1]]
+        yield np.full(len(best), query_ids[m]), ids[near[best]], scores[best]
 
 
 def nearest(table: DataFrame, is_query, k: int = 20, rerank: int | None = 64, query_block: int = 256, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score for each row with is_query."""
     rows = usable(table, zero=False)
-    asked = rows.where(is_query(F.col("vec_id")))
-    queries = blocks(asked, np.ndarray.tobytes)
+    queries = blocks(rows.where(is_query(F.col("vec_id"))), exact_bytes)
     sample = [] if rerank is None else rows.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(SAMPLE).collect()
     fitted = {d: Quantiser(np.array([r.v for r in sample if len(r.v) == d], np.float64)) for d in {len(r.v) for r in sample}}
 
     def coded(x: np.ndarray) -> bytes:
-        """The length, and codes or, without a fit, the vectors."""
-        q = fitted.get(x.shape[1])
-        return x.shape[1].to_bytes(4, "little") + (q.packed(x) if q else x).tobytes()
+        """The length, codes if there is a fit, how far estimates may be off, and the vectors."""
+        d = x.shape[1]
+        codes, off = fitted[d].packed(x) if d in fitted else (np.empty((len(x), 0), np.uint8), length(x) * (d + 4) * 2.0**-50)
+        return d.to_bytes(4, "little") + codes.tobytes() + off.tobytes() + exact_bytes(x)
+
+    def parsed(ids: np.ndarray, data: bytes) -> tuple[np.ndarray, ...]:
+        n, d = len(ids), int.from_bytes(data[:4], "little")
+        at = 4 + n * (-(-fitted[d].parts // 2) if d in fitted else 0)
+        return ids, np.frombuffer(data[4:at], np.uint8).reshape(n, -1) if at > 4 else np.empty((n, 0), np.uint8), np.frombuffer(data[at : at + 8 * n]), exact(data[at + 8 * n :], n)
 
     candidates = blocks(rows, coded)
 
     def unit(left: list, right: list) -> Iterator[tuple[np.ndarray, ...]]:
         by = full(left)
+        bars = {d: np.full(len(ids), -np.inf) for d, (ids, _) in by.items()}
         for some in chunks(right, chunk):
             parts: dict[int, list] = {}
             for ids, data in some:
-                parts.setdefault(int.from_bytes(data[:4], "little"), []).append((ids, data[4:]))
+                parts.setdefault(int.from_bytes(data[:4], "little"), []).append((ids, data))
             for d, found in parts.items():
                 if d not in by:
                     continue
-                ids, (query_ids, q) = np.concatenate([i for i, _ in found]), by[d]
-                raw, fit = np.frombuffer(b"".join(x for _, x in found), np.uint8 if d in fitted else np.float64).reshape(len(ids), -1), fitted.get(d)
+                ids, codes, off, x = map(np.concatenate, zip(*(parsed(*block) for block in found), strict=True))
+                (query_ids, q), fit = by[d], fitted.get(d)
                 for s in range(0, len(q), query_block):
                     part = slice(s, s + query_block)
-                    estimates = np.ascontiguousarray(fit.scan(fit.tables(q[part]), raw).T) if fit else q[part] @ raw.T
-                    yield from highest(query_ids[part], ids, estimates, rerank or k)
-
-    best = search(queries, candidates, unit, rerank or k, "double")
-    if rerank is None:
-        return best
-    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    pairs = best.select("query_id", "vec_id").distinct().join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
-    scored = pairs.where(F.size("v") == F.size("w")).select("query_id", "vec_id", product.alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    estimates = np.ascontiguousarray(fit.scan(fit.tables(q[part]), codes).T) if fit else q[part] @ x.T
+                    yield from highest(query_ids[part], q[part], bars[d][part], ids, x, estimates, off, k, max(rerank or 0, k))
+
+    return search(queries, candidates, unit, k, "double")

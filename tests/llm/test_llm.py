@@ -514,6 +514,21 @@ def test_exact_search_and_recall(spark, sf):
         assert {i for a, i in exact if a == q} == set(want)
 
 
+@pytest.mark.parametrize("kind", ["offset", "near copies", "uneven"])
+def test_nearest_misses_none_on_other_rows(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 16))
+    x = {"offset": (5 + x / 10) / np.linalg.norm(5 + x / 10, axis=1, keepdims=True), "near copies": rng.normal(size=(4, 16))[rng.integers(0, 4, 1200)] + x / 1000, "uneven": x * np.exp(3 * rng.normal(size=(1200, 1)))}[kind]
+    x[600:700] = x[:100]
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, lambda i: i % 20 == 0, query_block=16, chunk=1024).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 1200, 20):
+        s = sum(x[:, k] * x[q, k] for k in range(16))
+        assert got[q] == [(i, s[i]) for i in sorted(set(range(1200)) - {q}, key=lambda i: (-s[i], i))[:20]]
+
+
 def points_by_brute_force(html):
     """Points of containers in well-formed pages of divs and paragraphs, by recursion."""
     from html.parser import HTMLParser
