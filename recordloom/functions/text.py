@@ -11,8 +11,11 @@ import unicodedata
 from collections.abc import Mapping
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +51,14 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
+def words(lower: Column) -> Column:
+    """ASCII letters and digits, single blanks; a run of anything else is one match."""
+    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
+
+
 def key_screen(c: Column) -> Column:
     """ASCII letters and digits of the decomposed text, single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkd_ascii(c)), "[^a-z0-9 ]", " "), " +", " "))
+    return words(F.lower(nfkd_ascii(c)))
 
 
 def key_title(c: Column) -> Column:
@@ -75,7 +83,84 @@ def key_join(c: Column) -> Column:
 
 
 def key_cache(c: Column) -> Column:
-    return F.concat(F.lit("title:"), F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +", " ")))
+    return F.concat(F.lit("title:"), words(F.lower(c)))
+
+
+#: bytes that aren't ASCII letters in lower case or digits as blanks, ASCII white space as blanks, and other white space in UTF-8 by all but its last byte
+WORD_BYTES = np.array([i if chr(i).isdigit() or "a" <= chr(i) <= "z" else 32 for i in range(128)] + [32] * 128, np.uint8)
+SPACE_BYTES = np.array([32 if chr(i) in BLANKS else i for i in range(128)] + list(range(128, 256)), np.uint8)
+WIDE_BLANKS = {lead: [x.encode() for x in BLANKS if x.encode()[:-1] == lead] for lead in sorted({x.encode()[:-1] for x in BLANKS if not x.isascii()})}
+
+
+def squeezed(data: np.ndarray, starts: np.ndarray, single: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (bytes one after the other, and where each starts, with the end) with single blanks and none at their ends, or with no blanks."""
+    kept = data != 32
+    if single:
+        after = np.zeros(len(data), bool)
+        after[1:] = kept[:-1]
+        after[starts[:-1][starts[:-1] < len(data)]] = False
+        kept |= after
+    places = np.flatnonzero(kept)
+    at = np.searchsorted(places, starts)
+    if single:
+        last = at[1:][at[1:] > at[:-1]] - 1
+        places = np.delete(places, last[data[places[last]] == 32])
+        at = np.searchsorted(places, starts)
+    return data[places], at
+
+
+@F.arrow_udf(T.StructType([T.StructField(x, T.StringType()) for x in ("screen", "pack", "exclude", "words")]))
+def long_keys(lower: pa.Array) -> pa.Array:
+    """Keys of texts in lower case; a few hundred at a time, as their bytes stay in the processor's cache."""
+    return pa.concat_arrays([keys_of(lower[i : i + 256]) for i in range(0, max(len(lower), 1), 256)])
+
+
+def keys_of(lower: pa.Array) -> pa.Array:
+    """Keys made from the bytes of all texts at once."""
+    texts = lower.cast(pa.large_string())
+    null, n = np.asarray(texts.is_null()), len(texts)
+    _, at, held = texts.buffers()
+    starts = np.frombuffer(at, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = held.slice(starts[0], starts[-1] - starts[0]).to_pybytes() if held else b""
+    starts = starts - starts[0]
+
+    def strings(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+        valid = pa.py_buffer(np.packbits(~null, bitorder="little"))
+        return pa.Array.from_buffers(pa.large_string(), n, [valid, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
+
+    plain = np.frombuffer(data, np.uint8)
+    coded = WORD_BYTES[plain]
+    words, pack = strings(*squeezed(coded, starts)), strings(*squeezed(coded, starts, single=False))
+    wide = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(plain > 127), starts)))
+    spaced = data
+    for lead, blanks in WIDE_BLANKS.items() if len(wide) else ():
+        if lead in data:
+            for x in blanks:
+                spaced = spaced.replace(x, b" " * len(x))
+    exclude = strings(*squeezed(SPACE_BYTES[np.frombuffer(spaced, np.uint8)], starts))
+    screen = words
+    if len(wide):
+        # the rows that aren't ASCII are decomposed and written over the words of the others
+        plainer = [unicodedata.normalize("NFKD", data[starts[i] : starts[i + 1]].decode()).encode("ascii", "ignore").lower() for i in wide]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in plainer])])
+        some, at = squeezed(WORD_BYTES[np.frombuffer(b"".join(plainer), np.uint8)], ends)
+        some = some.tobytes()
+        chosen = np.full(n, -1)
+        chosen[wide] = np.arange(len(wide))
+        own = pa.array([some[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()).take(pa.array(chosen, mask=chosen < 0))
+        screen = pc.coalesce(own, words)
+    return pa.StructArray.from_arrays([screen, pack, exclude, words], ["screen", "pack", "exclude", "words"])
+
+
+def keys(df: DataFrame, c: Column, *columns: str) -> DataFrame:
+    """``columns`` and all keys of long texts: screen, pack, filter, exclude, joined, cache, as the functions above make them.
+
+    Texts go through Python once, in lower case: what is decomposed, packed or collapsed is the same before and after it.
+    """
+    df = df.select(*columns, F.lower(c.cast("string")).alias("lower")).select(*columns, "lower", long_keys("lower").alias("key"))
+    exclude = F.col("key.exclude")
+    unended = F.when(exclude.endswith("."), F.substring(exclude, F.lit(1), F.length(exclude) - 1)).otherwise(exclude)
+    return df.select(*columns, "key.screen", "key.pack", unended.alias("filter"), "key.exclude", strip(F.col("lower")).alias("joined"), F.concat(F.lit("title:"), "key.words").alias("cache"))
 
 
 def pick(*columns: Column) -> Column:

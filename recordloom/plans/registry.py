@@ -190,8 +190,7 @@ sql("facet_setops", _facet_sql())
 
 @query
 def norm_keys(spark, d):
-    x = F.col("text")
-    return t(spark, d, "documents").select("doc_id", X.key_screen(x).alias("screen"), X.key_pack(x).alias("pack"), X.key_filter(x).alias("filter"), X.key_exclude(x).alias("exclude"), X.key_join(x).alias("joined"), X.key_cache(x).alias("cache"))
+    return X.keys(t(spark, d, "documents"), F.col("text"), "doc_id")
 
 
 sql("norm_keys", f"""SELECT doc_id, {norm("text")} AS screen, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS pack,
