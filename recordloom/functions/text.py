@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -109,10 +109,14 @@ def squeezed(data: np.ndarray, starts: np.ndarray, single: bool = True) -> tuple
     return data[places], at
 
 
-@F.arrow_udf(T.StructType([T.StructField(x, T.StringType()) for x in ("screen", "pack", "exclude", "words")]))
-def long_keys(lower: pa.Array) -> pa.Array:
-    """Keys of texts in lower case; a few hundred at a time, as their bytes stay in the processor's cache."""
-    return pa.concat_arrays([keys_of(lower[i : i + 256]) for i in range(0, max(len(lower), 1), 256)])
+def long_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of texts in lower case, a few hundred at a time: their bytes stay in the processor's cache, and no batch that goes back is large."""
+    for batch in batches:
+        for i in range(0, len(batch), 256):
+            part = batch.slice(i, 256)
+            found = keys_of(part.column("lower"))
+            yield pa.RecordBatch.from_arrays([*part.columns, *found.flatten()], [*part.schema.names, *(f.name for f in found.type)])
+        pa.default_memory_pool().release_unused()
 
 
 def keys_of(lower: pa.Array) -> pa.Array:
@@ -157,10 +161,11 @@ def keys(df: DataFrame, c: Column, *columns: str) -> DataFrame:
 
     Texts go through Python once, in lower case: what is decomposed, packed or collapsed is the same before and after it.
     """
-    df = df.select(*columns, F.lower(c.cast("string")).alias("lower")).select(*columns, "lower", long_keys("lower").alias("key"))
-    exclude = F.col("key.exclude")
+    df = df.select(*columns, F.lower(c.cast("string")).alias("lower"))
+    df = df.mapInArrow(long_keys, T.StructType([*df.schema.fields, *(T.StructField(x, T.StringType()) for x in ("screen", "pack", "exclude", "words"))]))
+    exclude = F.col("exclude")
     unended = F.when(exclude.endswith("."), F.substring(exclude, F.lit(1), F.length(exclude) - 1)).otherwise(exclude)
-    return df.select(*columns, "key.screen", "key.pack", unended.alias("filter"), "key.exclude", strip(F.col("lower")).alias("joined"), F.concat(F.lit("title:"), "key.words").alias("cache"))
+    return df.select(*columns, "screen", "pack", unended.alias("filter"), "exclude", strip(F.col("lower")).alias("joined"), F.concat(F.lit("title:"), "words").alias("cache"))
 
 
 def pick(*columns: Column) -> Column:

@@ -347,4 +347,4 @@ def test_long_keys_equal_keys_one_by_one(spark):
 
 def test_norm_keys_run_no_pattern_over_texts(spark, sf):
     plan = __spark_entry__.queries()["norm_keys"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    assert "regexp_replace" not in plan and plan.count("MapInArrow") == 1
